@@ -16,15 +16,16 @@ be there. The learning sample is bounded by `limit` rows, so the lexicon is boun
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfurrow.llm.common import by_value, fold, isotonic, training_labels
+from pixelfurrow.llm.common import by_value, discard, fold, isotonic, training_labels, written
 
-LIMIT, PRIOR, Z, DRIFT = 40_000, 0.15, 3.5, 0.1
+LIMIT, PRIOR, Z, LEAST, DRIFT = 40_000, 0.15, 3.5, 1.5, 0.1
 #: ASCII letters in lower case; digits and bytes over 127 as they are; all else parts words.
 WORDS = bytes((b | 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -48,6 +49,20 @@ def count_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.binary()), *(pa.array([n[k] for n in seen.values()], pa.int64()) for k in (0, 1))], ["word", "clean", "toxic"])
 
 
+def sketch(batches):
+    """Three marks of each text: the least hashes of its sequences of three words under three hash functions."""
+    for batch in batches:
+        marks = np.zeros((batch.num_rows, 3), np.int64)
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            found = words(text)
+            h = np.fromiter(map(zlib.crc32, found), np.uint64, len(found)) if found else np.zeros(1, np.uint64)
+            h = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] * np.uint64(0x165667B19E3779F9) if len(h) > 2 else h[:1]
+            for j, odd in enumerate((0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)):
+                x = h * np.uint64(odd)
+                marks[k, j] = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(1)).min()
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(marks[:, j]) for j in range(3))], ["doc_id", "text", "label", "a", "b", "c"])
+
+
 def segments(scores: list[float], places: list[int], drift: float) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first place, last place), where every other place scores -drift; linear time."""
     out: list[list[float]] = []  # left sum, right sum, first, last
@@ -115,9 +130,14 @@ def _lambda(p: dict[float, float]) -> float:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text. labels: doc_id, label of a bounded sample."""
     spark = docs.sparkSession
-    sample = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "label")
+    sample = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").where(F.col("text").isNotNull())
+    sample = written(sample.select("doc_id", "text", "label").mapInArrow(sketch, "doc_id long, text string, label int, a long, b long, c long"), "toxicity")
+    once = sample.select("doc_id", "a", "b", "c")
+    for mark in "abc":  # near copies count once: in such a group few documents differ in all three marks
+        once = once.groupBy(mark).agg(F.min_by(F.struct("doc_id", "a", "b", "c"), "doc_id").alias("x")).select("x.*")
+    sample = written(sample.join(F.broadcast(once.select("doc_id")), "doc_id").select("text", "label"), "toxicity-once")
     counts = sample.mapInArrow(count_words, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    both = {r.label: r.n for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    both = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = both.get(0, 0), both.get(1, 0)
     model = Model({})
     if not n0 or not n1:
@@ -133,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         (logit(F.col("toxic"), n1) - logit(F.col("clean"), n0)).alias("odds"),
         (1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("var"),
     )
-    model.lexicon = {bytes(r.word): round(r.odds, 3) for r in odds.where(F.col("odds") > Z * F.sqrt("var")).collect()}
+    model.lexicon = {bytes(r.word): round(r.odds, 3) for r in odds.where((F.col("odds") > Z * F.sqrt("var")) & (F.col("odds") > LEAST)).collect()}
     shared = spark.sparkContext.broadcast(model)
 
     def scan(batches):
@@ -155,6 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     model.k = max(1e-9, sum(b >= level for b in best) / max(1e-9, float(clean.n.sum()) * math.exp(-model.rate * level))) if best else 1e-3
     sums = np.array([sum(x for x, _, _ in model.significant(n, [(v, 0, 0) for v in s])) for n, s in zip(rows.n, rows.s, strict=True)])
     model.x, model.y = isotonic(sums, rows.label.to_numpy())
+    discard(sample)
     return model
 
 
