@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -88,6 +89,24 @@ def blocks(texts, most: int = 4 << 20):
         yield first, len(texts)
 
 
+def kept(key, make):
+    """make() once for each key in this Python worker, which may run many tasks. Only the latest 8 keys stay."""
+    import pyspark
+
+    store = pyspark.__dict__.setdefault("_pixelfurrow_kept", {})
+    if key not in store:
+        for old in list(store)[: max(0, len(store) - 7)]:
+            del store[old]
+        store[key] = make()
+    return store[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, not when the driver next collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def isotonic(score: np.ndarray, label: np.ndarray, bins: int = 2000) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators over at most bins groups of the sorted scores; the mean score and the smoothed rate of each pool."""
     if not len(score):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pixelfurrow.llm import langid, quality, toxicity
+from pixelfurrow.llm import byte_bpe, langid, quality, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2,
     "op4_language_id": langid.op4,
     "op5_quality": quality.op5,
+    "op9_byte_bpe": byte_bpe.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {}
