@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pixelfurrow.llm import byte_bpe, langid, quality, toxicity
+from pixelfurrow.llm import byte_bpe, langid, quality, topk, toxicity, wavelet
 
 QUERIES = {
+    "op1_topk_search": topk.op1,
     "op2_toxicity": toxicity.op2,
     "op4_language_id": langid.op4,
     "op5_quality": quality.op5,
+    "op8_wavelet_ids": wavelet.op8,
     "op9_byte_bpe": byte_bpe.op9,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk.ORACLE}
