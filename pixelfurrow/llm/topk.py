@@ -120,8 +120,8 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH ok AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, r.vec_id AS vec_id, CAST(list_inner_product(q.v::DOUBLE[], r.v::DOUBLE[]) AS BIGINT) AS score
   FROM ok q JOIN ok r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id
