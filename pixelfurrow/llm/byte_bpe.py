@@ -22,6 +22,7 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,9 @@ class Splitter:
     def of(self, chunk: str, first: bool) -> tuple[str, ...]:
         if first:
             return tuple(self.find(chunk))
+        word = chunk.rstrip(".,;:!?|$%&*#")
+        if word.isalpha():  # letters, then marks: the pattern parts them there
+            return (" " + word,) if len(word) == len(chunk) else (" " + word, chunk[len(word) :])
         found = self.memo.get(chunk)
         if found is None:
             found = tuple(self.find(" " + chunk))
@@ -128,7 +132,18 @@ def _frequent(words: DataFrame) -> dict[str, bytes]:
         least = r[0]
     if least is None:
         return {}
-    return {r.word: bytes(r.ids) for r in words.where(F.floor(F.log2("n")) >= least).select("word", "ids").collect()}
+    rows = words.where(F.floor(F.log2("n")) >= least).select("word", "ids", "n").collect()
+    return {r.word: bytes(r.ids) for r in sorted(rows, key=lambda r: -r.n)}  # low numbers for the commonest pack best
+
+
+def packed(seq: bytes) -> bytes:
+    """Unsigned 32-bit numbers as compressed planes of their bytes."""
+    return zstandard.compress(np.frombuffer(seq, np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> list[int]:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    return planes.reshape(4, -1).T.copy().view(np.uint32).ravel().tolist() if len(planes) else []
 
 
 class Frequent:
@@ -154,7 +169,7 @@ def position_rows(shared, key, pattern: str, rare: bool):
                 seqs = []
 
                 def number(words):
-                    return np.array([x if (x := at.get(w)) is not None else base + own.setdefault(w, len(own)) for w in words], np.uint32).tobytes()
+                    return b"".join([(x if (x := at.get(w)) is not None else base + own.setdefault(w, len(own))).to_bytes(4, "little") for w in words])
 
                 for text in texts[a:b]:
                     parts = split.chunks(text) if text else []
@@ -171,7 +186,7 @@ def position_rows(shared, key, pattern: str, rare: bool):
                     n = len(own)
                     yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(own, pa.string())], ["block", "k", "word"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * (b - a), pa.int64()), batch.column(0).slice(a, b - a), pa.array(seqs, pa.binary())], ["block", "doc_id", "seq"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * (b - a), pa.int64()), batch.column(0).slice(a, b - a), pa.array(map(packed, seqs), pa.binary())], ["block", "doc_id", "seq"])
 
     return rows
 
@@ -200,7 +215,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public
         own_text = tail(own)
         out: list[list] = [[], [], [], [], []]
         for doc, seq in zip(left.column("doc_id").to_pylist(), left.column("seq").to_pylist(), strict=True):
-            at = np.frombuffer(seq, np.uint32).tolist()
+            at = unpacked(seq)
             raw = b"".join([common[i] if i < base else own[i - base] for i in at])
             text = ",".join([common_text[i] if i < base else own_text[i - base] for i in at])
             back = b"".join(map(token.__getitem__, np.frombuffer(raw, np.uint32).tolist()))
