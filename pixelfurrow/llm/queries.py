@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pixelfurrow.llm import byte_bpe, langid, quality, topk, toxicity, wavelet
+from pixelfurrow.llm import byte_bpe, langid, ngram_join, quality, suffix_dedup, topk, toxicity, wavelet
 
 QUERIES = {
     "op1_topk_search": topk.op1,
     "op2_toxicity": toxicity.op2,
     "op4_language_id": langid.op4,
     "op5_quality": quality.op5,
+    "op6_ngram_jaccard_join": ngram_join.op6,
+    "op7_suffix_dedup": suffix_dedup.op7,
     "op8_wavelet_ids": wavelet.op8,
     "op9_byte_bpe": byte_bpe.op9,
 }
