@@ -32,7 +32,8 @@ from pixelfurrow.llm.common import blocks, by_value, discard, release, written
 from pixelfurrow.llm.components import components
 
 DIMENSIONS, CHUNK, NODE, SMALL = 64, 256, 16, 500_000
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
+ODDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9]
+ODD = np.array(ODDS, np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,7 +56,7 @@ def shingles(text: str | None, k: int, memo: dict[bytes, int]) -> np.ndarray:
     n = max(1, len(h) - k + 1)
     out = np.full(n, len(h) if len(h) < k else k, np.uint64)
     for j in range(min(k, len(h))):
-        out += mixed(h[j : j + n] + ODD[j % 8] * np.uint64(1 + j // 8)) * ODD[(j + 1) % 8]
+        out += mixed(h[j : j + n] + np.uint64(ODDS[j % 8] * (1 + j // 8) % (1 << 64))) * ODD[(j + 1) % 8]
     return np.unique(mixed(out))
 
 
@@ -101,7 +102,7 @@ class Link:
                 content, groups = content[full], np.flatnonzero(full)
             else:
                 groups = np.arange(len(full))
-            out.append(mixed(content + groups.astype(np.uint64) * ODD[0] + np.uint64(top) * ODD[1]))
+            out.append(mixed(content + groups.astype(np.uint64) * ODD[0] + np.uint64(top * ODDS[1] % (1 << 64))))
         return np.concatenate(out).view(np.int64)
 
 

@@ -38,11 +38,11 @@ LEAST_ID = -(1 << 63)
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each index on."""
     h, step = data.astype(np.uint64) + np.uint64(1), 1
-    odd = np.uint64(0xC2B2AE3D27D4EB4F)
+    odd = 0xC2B2AE3D27D4EB4F
     while step < GRAM:
-        h = h[: len(h) - step] * odd + (h[step:] ^ np.uint64(0x5851F42D4C957F2D))
+        h = h[: len(h) - step] * np.uint64(odd) + (h[step:] ^ np.uint64(0x5851F42D4C957F2D))
         h ^= h >> np.uint64(29)
-        odd = odd * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
+        odd = odd * 0xD6E8FEB86659FD93 % (1 << 64) | 1
         step *= 2
     return mixed(h)
 
