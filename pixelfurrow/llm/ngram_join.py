@@ -25,13 +25,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelfurrow.llm.common import blocks, by_value, discard, release, written
 from pixelfurrow.llm.components import components
 
-DIMENSIONS, CHUNK, NODE, SMALL = 64, 256, 16, 500_000
+DIMENSIONS, CHUNK, NODE, SMALL = 512, 256, 16, 500_000
 ODDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9]
 ODD = np.array(ODDS, np.uint64)
 
@@ -114,6 +115,15 @@ def count_vector(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes & np.uint64(DIMENSIONS - 1)).astype(int), minlength=DIMENSIONS).astype(np.uint32)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Low bytes of all counts, then the higher ones, compressed."""
+    return zstandard.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+
+
 def sketch_rows(k: int, link: Link):
     def rows(batches):
         memo, seen = {}, set()
@@ -138,7 +148,7 @@ def set_rows(k: int):
         memo = {}
         for batch in batches:
             sets = [shingles(t, k, memo) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([count_vector(h).tobytes() for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["sid", "n", "counts", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([packed(count_vector(h)) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["sid", "n", "counts", "hashes"])
 
     return rows
 
@@ -148,14 +158,14 @@ def verify_rows(link: Link):
 
     def rows(batches):
         for batch in batches:
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            u, v, packed_u, sets_u, packed_v, sets_v = (c.to_pylist() for c in batch.columns)
             out = [[], []]
             for i in range(batch.num_rows):
-                cu, cv = (np.frombuffer(batch.column(c)[i].as_py(), np.uint32) for c in (2, 4))
+                cu, cv = unpacked(packed_u[i]), unpacked(packed_v[i])
                 a, b = int(cu.sum()), int(cv.sum())
                 if not link.linked(a, b, int(np.minimum(cu, cv).sum())):
                     continue
-                hu, hv = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (3, 5))
+                hu, hv = np.frombuffer(sets_u[i], np.uint64), np.frombuffer(sets_v[i], np.uint64)
                 if link.linked(a, b, len(np.intersect1d(hu, hv, assume_unique=True))):
                     out[0].append(u[i])
                     out[1].append(v[i])
@@ -216,7 +226,7 @@ def tree_pairs(link: Link):
     """Pairs of different components within a group (one chunk with itself or another) that may link."""
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        counts = np.array([np.frombuffer(c, np.uint32) for c in frame.counts])
+        counts = np.array([unpacked(c) for c in frame.counts])
         left, right = (np.flatnonzero(frame.chunk.to_numpy() == c) for c in (frame.chunk.min(), frame.chunk.max()))
         i, j = RTree(counts[left]).pairs(RTree(counts[right]), link)
         sid, root = frame.sid.to_numpy(), frame.root.to_numpy()
