@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelfurrow.llm import byte_bpe, langid, ngram_join, quality, suffix_dedup, topk, toxicity, wavelet
+from pixelfurrow.llm import byte_bpe, decontaminate, langid, ngram_join, quality, suffix_dedup, topk, toxicity, wavelet
 
 QUERIES = {
     "op1_topk_search": topk.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_suffix_dedup": suffix_dedup.op7,
     "op8_wavelet_ids": wavelet.op8,
     "op9_byte_bpe": byte_bpe.op9,
+    "op10_decontamination": decontaminate.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk.ORACLE}
