@@ -16,8 +16,6 @@ rows each give their own matches; repeated items too. Columns but doc_id, text a
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,11 +24,10 @@ from pyspark.sql import functions as F
 from pixelfurrow.llm.common import by_value, written
 
 Q, SHARE, BLOCK, PART = 8, 0.1, 4_000_000, 1 << 19
-SPACE = re.compile(r"\s+")
 
 
 def normal(text: str | None) -> str:
-    return SPACE.sub(" ", text).strip().lower() if text else ""
+    return " ".join(text.split()).lower() if text else ""
 
 
 def coded(text: str) -> np.ndarray:
@@ -42,10 +39,13 @@ def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
     n = len(codes) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(q):
-        h = (h + codes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
+    h, step, odd = codes.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
+    while step < q:  # a stretch twice as long from two, which may overlap
+        more = min(step, q - step)
+        h = h[: len(h) - more] * np.uint64(odd) + h[more:]
+        h ^= h >> np.uint64(31)
+        step, odd = step + more, odd * 0xD6E8FEB86659FD93 % (1 << 64) | 1
+    h *= np.uint64(0x94D049BB133111EB)
     return h
 
 

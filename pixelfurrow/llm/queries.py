@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pixelfurrow.llm import byte_bpe, decontaminate, langid, ngram_join, quality, suffix_dedup, topk, toxicity, wavelet
+from pixelfurrow.llm import byte_bpe, decontaminate, langid, lm_score, ngram_join, quality, suffix_dedup, topk, toxicity, wavelet
 
 QUERIES = {
     "op1_topk_search": topk.op1,
     "op2_toxicity": toxicity.op2,
+    "op3_lm_score": lm_score.op3,
     "op4_language_id": langid.op4,
     "op5_quality": quality.op5,
     "op6_ngram_jaccard_join": ngram_join.op6,
