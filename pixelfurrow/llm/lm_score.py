@@ -3,7 +3,8 @@
 Two bigram models, of the target texts and of all texts, share one vocabulary: all words of all texts. Both interpolate by
 absolute discounting: p(w|h) = max(c(hw) - D, 0) / c(h) + D * N(h) / c(h) * (c(w) + ADD * b(w)) / (c + ADD), where b is the
 words' share in all texts, so no word that occurs has probability 0 in either. A token's loss difference is
-log2 p_all - log2 p_target; a document's score is its mean, and lower means nearer to the target.
+log2 p_all - log2 p_target; a document's score is its mean, and lower means nearer to the target. Documents are in two
+halves by a hash of doc_id; both models of a half count the other half, so that no document is scored by its own counts.
 
 Counts of all texts: each block of texts counts its own bigrams, sums meet by a shuffle on the bigram, and words and
 histories are sums over bigrams. The loss difference of each distinct bigram is computed once, and comes back to the blocks
@@ -18,6 +19,7 @@ a target that is the words' share. Repeated rows get equal scores. Only doc_id a
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from pixelfurrow.llm.common import blocks, by_value, release, written
 from pixelfurrow.llm.toxicity import words
 
 DISCOUNT, ADD, BLOCK = 0.75, 1000.0, 16 << 20
+COUNTS = ["n0", "n1", "t0", "t1"]
 
 
 def _pairs(text: str | None, memo: dict[bytes, int]) -> np.ndarray:
@@ -54,7 +57,7 @@ def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_rows(per_block: bool):
-    """Of each block's distinct bigrams: h, w, and either counts (all, target) or block and k. Columns: doc_id, text, target."""
+    """Of each block's distinct bigrams: h, w, and either COUNTS or block and k. Columns: doc_id, text, target."""
 
     def rows(batches):
         memo = {}
@@ -68,12 +71,17 @@ def block_rows(per_block: bool):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), name)), pa.array(np.arange(len(distinct), dtype=np.int32)), pa.array(distinct[:, 0].copy()), pa.array(distinct[:, 1].copy())], ["block", "k", "h", "w"])
                 else:
                     target = np.repeat([bool(x) for x in batch.column(2).to_pylist()[a:b]], [len(p) for p in parts])
-                    n = np.bincount(number, minlength=len(distinct)), np.bincount(number, target, len(distinct)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (distinct[:, 0].copy(), distinct[:, 1].copy(), n[0].astype(np.int64), n[1])], ["h", "w", "n", "t"])
+                    half = np.repeat([_half(d) for d in docs[a:b]], [len(p) for p in parts])
+                    n = [np.bincount(number, x, len(distinct)).astype(np.int64) for x in (half, 1 - half, half * target, (1 - half) * target)]  # each half has the other's counts
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (distinct[:, 0].copy(), distinct[:, 1].copy(), *n)], ["h", "w", *COUNTS])
 
     return rows
 
 
+def _half(doc) -> int:
+    return zlib.crc32(str(doc).encode()) >> 7 & 1
+
+
 def _block(docs, texts) -> int:
     return int.from_bytes(hashlib.blake2b(repr((docs, [len(t or "") for t in texts])).encode() + (texts[0] or "")[:99].encode(), digest_size=8).digest(), "little", signed=True)
 
@@ -92,37 +100,39 @@ def document_rows(batches):
 
 
 def losses(counts: DataFrame) -> DataFrame:
-    """(h, w, diff) of each distinct bigram; counts: h, w, n, t."""
-    total = counts.agg(F.sum("n").alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-    word = counts.groupBy("w").agg(F.sum("n").alias("wn"), F.sum("t").alias("wt"))
-    history = counts.groupBy("h").agg(F.sum("n").alias("hn"), F.sum("t").alias("ht"), F.count("*").alias("kn"), F.count_if(F.col("t") > 0).alias("kt"))
-    share = F.col("wn") / F.lit(total.n or 1)
+    """(h, w, diff0, diff1) of each distinct bigram: by the models of either half; counts: h, w, COUNTS."""
+    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS)).first()
+    word = counts.groupBy("w").agg(*(F.sum(c).alias(f"w{c}") for c in COUNTS))
+    history = counts.groupBy("h").agg(*(F.sum(c).alias(f"h{c}") for c in COUNTS), *(F.count_if(F.col(c) > 0).alias(f"k{c}") for c in COUNTS))
+    share = (F.col("wn0") + F.col("wn1")) / F.lit(float(total.n0 + total.n1 or 1))
 
-    def p(c, of_h, kinds, of_w, n):
-        one = (F.col(of_w) + ADD * share) / F.lit(float(n or 0) + ADD)
-        seen = F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(of_h) + DISCOUNT * F.col(kinds) / F.col(of_h) * one
-        return F.when(F.col(of_h) > 0, seen).otherwise(one)
+    def p(c):
+        one = (F.col(f"w{c}") + ADD * share) / F.lit(float(total[c]) + ADD)
+        of_h = F.col(f"h{c}")
+        return F.when(of_h > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / of_h + DISCOUNT * F.col(f"k{c}") / of_h * one).otherwise(one)
 
     rows = counts.join(history, "h").join(word, "w")
-    return rows.select("h", "w", (F.log2(p("n", "hn", "kn", "wn", total.n)) - F.log2(p("t", "ht", "kt", "wt", total.t))).alias("diff"))
+    return rows.select("h", "w", *((F.log2(p(f"n{k}")) - F.log2(p(f"t{k}"))).cast("float").alias(f"diff{k}") for k in (0, 1)))
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, score of each row; docs: doc_id, text, target (whether the text is of the target)."""
+def scored(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, score of each row; docs: doc_id, text, read the same way each time; target: its doc_ids."""
     spark = docs.sparkSession
-    counts = docs.select("doc_id", "text", "target").mapInArrow(block_rows(False), "h long, w long, n long, t long").groupBy("h", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    marked = docs.join(target.select("doc_id").distinct().withColumn("target", F.lit(True)), "doc_id", "left").select("doc_id", "text", "target")
+    counts = marked.mapInArrow(block_rows(False), "h long, w long, n0 long, n1 long, t0 long, t1 long").groupBy("h", "w").agg(*(F.sum(c).alias(c) for c in COUNTS))
     counts = written(counts, "bigrams")
     release(spark)
-    table = losses(counts)
     own = docs.select("doc_id", "text").mapInArrow(block_rows(True), "block long, k int, h long, w long")
-    back = own.join(table, ["h", "w"]).select("block", "k", F.col("diff").cast("float").alias("diff"))
+    back = own.join(losses(counts), ["h", "w"]).select("block", "k", "diff0", "diff1")
     seqs = docs.select("doc_id", "text").mapInArrow(document_rows, "block long, doc_id long, seq binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        diff = np.zeros(right.num_rows)
-        diff[right.column("k").to_numpy()] = right.column("diff").to_numpy()
-        at = [np.frombuffer(x, np.uint32) for x in left.column("seq").to_pylist()]
-        return pa.table([left.column("doc_id"), pa.array([len(x) for x in at], pa.int64()), pa.array([float(diff[x].mean()) if len(x) else None for x in at], pa.float64())], ["doc_id", "n_tokens", "score"])
+        diff = np.zeros((2, right.num_rows))
+        for k in (0, 1):
+            diff[k, right.column("k").to_numpy()] = right.column(f"diff{k}").to_numpy()
+        docs, at = left.column("doc_id"), [np.frombuffer(x, np.uint32) for x in left.column("seq").to_pylist()]
+        means = [float(diff[_half(d)][x].mean()) if len(x) else None for d, x in zip(docs.to_pylist(), at, strict=True)]
+        return pa.table([docs, pa.array([len(x) for x in at], pa.int64()), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "score"])
 
     return seqs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens long, score double")
 
@@ -130,8 +140,7 @@ def scored(docs: DataFrame) -> DataFrame:
 def op3(spark, sf_dir: str) -> DataFrame:
     """The target: documents that labels.quality marks 1. The background: all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct()
-    return scored(docs.join(good.withColumn("target", F.lit(True)), "doc_id", "left"))
+    return scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id"))
 
 
 by_value(__name__)
