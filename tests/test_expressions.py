@@ -31,7 +31,7 @@ def test_fdr_vector(spark):
 
 
 def test_spearman_of_ties_missing_and_constants(spark):
-    rows = [(f, x, y) for f, xs in {"a": [1, 2, 2, 4, None, 6], "c": [5] * 6, "s": [1, 2] + [None] * 4}.items() for x, y in zip(xs, [3, 1, 4, 4, 5, 9], strict=True)]
+    rows = [(f, None if x is None else float(x), float(y)) for f, xs in {"a": [1, 2, 2, 4, None, 6], "c": [5] * 6, "s": [1, 2] + [None] * 4}.items() for x, y in zip(xs, [3, 1, 4, 4, 5, 9], strict=True)]
     out = {r.f: r for r in T.correlations(spark.createDataFrame(rows, "f string, x double, y double"), ["f"], "x", "y").collect()}
     a = pd.DataFrame({"x": [1, 2, 2, 4, 6], "y": [3, 1, 4, 4, 9]}).rank().corr().iloc[0, 1]
     assert abs(out["a"].spearman_r - a) < 1e-12 and out["c"].spearman_r is None and out["s"].pearson_r is None
