@@ -24,6 +24,8 @@ from pixelfurrow.llm.common import by_value
 
 SCALE, K, EVERY, ROWS, QUERIES, SLICE = 64, 20, 20, 4096, 4096, 1024
 LEVELS = (4, 16)
+#: Share of a slice's pairs under which they are refined one by one.
+FEW = 0.05
 
 
 def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -55,27 +57,27 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids
     exact = 0
     for a in range(0, len(rows), SLICE):
         b = min(a + SLICE, len(rows))
-        bound = q_levels[0] @ r_levels[0][a:b].T
-        alive = bound + 1e-6 * (1 + np.abs(bound)) >= bar[:, None]
-        if alive.mean() < 0.05:  # few pairs: refine them one by one
+        alive, level = np.ones((len(queries), b - a), bool), 0
+        while level < len(LEVELS) and alive.mean() >= FEW:  # coarse to fine, all pairs of the slice at once
+            bound = q_levels[level] @ r_levels[level][a:b].T
+            alive &= bound + 1e-6 * (1 + np.abs(bound)) >= bar[:, None]
+            level += 1
+        if alive.mean() < FEW:  # few pairs: refine them one by one
             i, j = np.nonzero(alive)
-            for ql, rl in zip(q_levels[1:], r_levels[1:], strict=True):
+            for ql, rl in zip(q_levels[level:], r_levels[level:], strict=True):
                 bound = np.einsum("ij,ij->i", ql[i], rl[a + j])
                 stay = bound + 1e-6 * (1 + np.abs(bound)) >= bar[i]
                 i, j = i[stay], j[stay]
             score = np.einsum("ij,ij->i", queries[i], rows[a + j])
             exact += len(i)
-        else:  # many: refine rows and queries that have a survivor
-            some = np.flatnonzero(alive.any(0))
-            bound = q_levels[-1] @ r_levels[-1][a + some].T
-            some = some[(bound + 1e-6 * (1 + np.abs(bound)) >= bar[:, None]).any(0)]
-            full = queries @ rows[a + some].T
+        else:
+            full = queries @ rows[a:b].T
             exact += full.size
-            full[query_ids[:, None] == row_ids[a + some][None, :]] = -np.inf
+            full[query_ids[:, None] == row_ids[a:b][None, :]] = -np.inf
             if full.shape[1] >= k:
                 bar = np.maximum(bar, np.partition(full, full.shape[1] - k, axis=1)[:, full.shape[1] - k])
             i, j = np.nonzero((full >= bar[:, None]) & np.isfinite(full))
-            score, j = full[i, j], some[j]
+            score = full[i, j]
         own = query_ids[i] != row_ids[a + j]
         i, j, score = i[own], j[own], score[own]
         q, s, ids = _best(np.concatenate([q, i]), np.concatenate([s, score]), np.concatenate([ids, row_ids[a + j]]), k)
