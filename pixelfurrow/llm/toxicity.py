@@ -50,13 +50,13 @@ def count_words(batches):
 
 
 def sketch(batches):
-    """Three marks of each text: the least hashes of its sequences of five words under three hash functions."""
+    """Three marks of each text: the least hashes of its sequences of three words under three hash functions."""
     for batch in batches:
         marks = np.zeros((batch.num_rows, 3), np.int64)
         for k, text in enumerate(batch.column(1).to_pylist()):
             found = words(text)
             h = np.fromiter(map(zlib.crc32, found), np.uint64, len(found)) if found else np.zeros(1, np.uint64)
-            size = min(5, len(h))
+            size = min(3, len(h))
             h = sum((h[j : len(h) - size + 1 + j] * np.uint64(0x9E3779B97F4A7C15 ** (j + 1) % (1 << 64)) for j in range(size)), np.uint64(0))
             for j, odd in enumerate((0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)):
                 x = h * np.uint64(odd)
