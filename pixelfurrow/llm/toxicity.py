@@ -2,7 +2,7 @@
 
 Learning: document counts of tokens (words, and words' beginnings of 5 and 4 bytes, for inflected and derived forms) in
 toxic and in clean labelled documents give log-odds with an informative Dirichlet prior (the prior's mass is dealt by
-the tokens' frequency in both). Tokens whose log-odds exceed z standard deviations score their log-odds; a word has the
+the tokens' frequency in both). Tokens whose log-odds exceed Z standard deviations score their log-odds; a word has the
 score of the longest such token, and every other word scores a small negative drift. A linear-time scan over a whole text finds all
 maximal scoring segments. Extreme-value statistics calibrate them: lambda solves sum p(s) exp(lambda s) = 1 over the
 clean documents' word scores, K comes from their best segments, and a segment counts lambda * S - ln(K * n) where that
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from pixelfurrow.llm.common import by_value, discard, fold, isotonic, training_labels, written
 
-LIMIT, PRIOR, Z, LEAST, DRIFT = 40_000, 0.15, 3.5, 1.5, 0.1
+LIMIT, PRIOR, Z, LEAST, DRIFT = 40_000, 0.15, 4.0, 1.5, 0.1
+#: Odd multipliers of the hash functions that mark near copies.
+MARKS = {"m1": 0xFF51AFD7ED558CCD, "m2": 0xC4CEB9FE1A85EC53, "m3": 0xD6E8FEB86659FD93, "m4": 0x9FB21C651E98DF25, "m5": 0xA0761D6478BD642F, "m6": 0xE7037ED1A0B428DB}
 #: ASCII letters in lower case; digits and bytes over 127 as they are; all else parts words.
 WORDS = bytes((b | 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -50,18 +52,18 @@ def count_words(batches):
 
 
 def sketch(batches):
-    """Three marks of each text: the least hashes of its sequences of three words under three hash functions."""
+    """Marks of each text: the least hashes of its sequences of three words under as many hash functions."""
     for batch in batches:
-        marks = np.zeros((batch.num_rows, 3), np.int64)
+        marks = np.zeros((batch.num_rows, len(MARKS)), np.int64)
         for k, text in enumerate(batch.column(1).to_pylist()):
             found = words(text)
             h = np.fromiter(map(zlib.crc32, found), np.uint64, len(found)) if found else np.zeros(1, np.uint64)
             size = min(3, len(h))
             h = sum((h[j : len(h) - size + 1 + j] * np.uint64(0x9E3779B97F4A7C15 ** (j + 1) % (1 << 64)) for j in range(size)), np.uint64(0))
-            for j, odd in enumerate((0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)):
+            for j, odd in enumerate(MARKS.values()):
                 x = h * np.uint64(odd)
                 marks[k, j] = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(1)).min()
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(marks[:, j]) for j in range(3))], ["doc_id", "text", "label", "a", "b", "c"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(marks[:, j]) for j in range(len(MARKS)))], ["doc_id", "text", "label", *MARKS])
 
 
 def segments(scores: list[float], places: list[int], drift: float) -> list[tuple[float, int, int]]:
@@ -132,10 +134,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text. labels: doc_id, label of a bounded sample."""
     spark = docs.sparkSession
     sample = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").where(F.col("text").isNotNull())
-    sample = written(sample.select("doc_id", "text", "label").mapInArrow(sketch, "doc_id long, text string, label int, a long, b long, c long"), "toxicity")
-    once = sample.select("doc_id", "a", "b", "c")
-    for mark in "abc":  # near copies count once: in such a group few documents differ in all three marks
-        once = once.groupBy(mark).agg(F.min_by(F.struct("doc_id", "a", "b", "c"), "doc_id").alias("x")).select("x.*")
+    sample = written(sample.select("doc_id", "text", "label").mapInArrow(sketch, "doc_id long, text string, label int, " + ", ".join(f"{m} long" for m in MARKS)), "toxicity")
+    once = sample.select("doc_id", *MARKS)
+    for mark in MARKS:  # near copies count once: in such a group few documents differ in all marks
+        once = once.groupBy(mark).agg(F.min_by(F.struct("doc_id", *MARKS), "doc_id").alias("x")).select("x.*")
     sample = written(sample.join(F.broadcast(once.select("doc_id")), "doc_id").select("text", "label"), "toxicity-once")
     counts = sample.mapInArrow(count_words, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     both = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
