@@ -4,13 +4,16 @@ A document is the set of its distinct word shingles, as 64-bit hashes. Two docum
 at least num / den. Linked sets of a and b shingles differ in at most d = (den - num) * (a + b) // (den + num) of them.
 
 1. Hash groups. In the scheme of a size band, hashes fall into d + 1 + e groups by their value. Sets that differ in at most
-   d hashes have 1 + e equal groups at least, so one that isn't empty unless both have over e empty groups (then empty
-   groups count as well). A group's exact content is a key; sets that share a key are candidates. Equal sets are one set.
+   d hashes have 1 + e equal groups at least. Where e allows it, groups of one hash are left out as well as empty ones: a
+   passage that many documents share gives such groups. A set with over e of them keeps them, and one with over e empty
+   groups keeps all. Two such sets have a kept group in common in each case. A group's exact content is a key; sets that
+   share a key are candidates. Equal sets are one set.
 2. Candidates of a key first meet its least set: their count vectors (hashes per group of DIMENSIONS) bound the overlap by
    the sum of coordinate minima, and survivors are verified on the sets. Verified links form components.
-3. Where a key still has several components, its sets go into R-trees over count vectors, in chunks of bounded size;
-   boxes whose summed minima can't reach the overlap are dropped, and surviving pairs of different components are
-   verified. So every link between different components of a key is found, and no key emits pairs inside a component.
+3. Where a key still has several components, its sets outside the largest one meet all its sets in R-trees over count
+   vectors, in chunks of bounded size; boxes whose summed minima can't reach the overlap are dropped, on vectors folded to
+   FOLDED coordinates first, and surviving pairs of different components are verified. So every link between different
+   components of a key is found, and no key emits pairs inside a component.
 
 Defined results: text without words, and null, gives an empty set, linked with nothing and its own component. Fewer words
 than a shingle give the whole sequence as one shingle. Rows that repeat a doc_id are of one component if their sets link.
@@ -19,8 +22,6 @@ Only doc_id and text are read. Sets are told apart by 64-bit sums of mixed hashe
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pixelfurrow.llm.common import blocks, by_value, discard, release, written
 from pixelfurrow.llm.components import components
 
-DIMENSIONS, CHUNK, NODE, SMALL = 512, 256, 16, 500_000
+DIMENSIONS, FOLDED, CHUNK, NODE, SMALL = 512, 64, 1024, 16, 500_000
 ODDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9]
 ODD = np.array(ODDS, np.uint64)
 
@@ -66,6 +67,7 @@ class Link:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self._schemes, self._tops = {}, {}
 
     def differ(self, both: int) -> int:
         return (self.den - self.num) * both // (self.den + self.num)
@@ -73,21 +75,33 @@ class Link:
     def linked(self, a, b, common):
         return self.den * common >= self.num * (a + b - common)
 
-    @functools.lru_cache(maxsize=4096)
-    def scheme(self, top: int) -> tuple[np.ndarray, int]:
-        """The least hash of each group but the first, and e, for sets of at most top shingles."""
-        d = self.differ(2 * top)
-        empty = np.exp(-self.num * self.num * top / (self.den * self.den * (d + 1)))
-        e = int(np.ceil((d + 1) * empty + 4 * np.sqrt((d + 1) * empty)))
-        return np.array([(g << 64) // (d + 1 + e) for g in range(1, d + 1 + e)], np.uint64), e
+    def scheme(self, top: int) -> tuple[np.ndarray, int, int]:
+        """The least hash of each group but the first, e, and the most hashes of a thin group, for sets of at most top."""
+        if top not in self._schemes:
+            d, part = self.differ(2 * top), self.num / self.den
+            found = [self._spare(d, part**power * top, thin) for thin, power in ((1, 2), (1, 1))] if d >= 20 else []
+            e, thin = next(((e, 1) for e in found if e <= 0.4 * (d + 1)), (self._spare(d, part * part * top, 0, 1), 0))
+            self._schemes[top] = np.array([(g << 64) // (d + 1 + e) for g in range(1, d + 1 + e)], np.uint64), e, thin
+        return self._schemes[top]
 
-    @functools.lru_cache(maxsize=65536)
-    def tops(self, n: int) -> tuple[int, ...]:
+    @staticmethod
+    def _spare(d: int, n: float, thin: int, turns: int = 30) -> int:
+        """Groups to add so that sets of n hashes seldom have more thin ones; it may come out too large to be of use."""
+        e = 0
+        for _ in range(turns):
+            mean = n / (d + 1 + e)
+            share = (d + 1 + e) * np.exp(-mean) * (1 + thin * mean)
+            e = int(np.ceil(share + 4 * np.sqrt(share)))
+        return e
+
+    def tops(self, n: int) -> tuple[int, int]:
         """The largest sizes of the schemes that a set of n shingles takes part in: of its own band and of the next."""
-        top = 1
-        while top < n:
-            top = -(-top * self.den // self.num)
-        return top, -(-top * self.den // self.num)
+        if n not in self._tops:
+            top = 1
+            while top < n:
+                top = -(-top * self.den // self.num)
+            self._tops[n] = top, -(-top * self.den // self.num)
+        return self._tops[n]
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         out = []
@@ -95,14 +109,16 @@ class Link:
             return np.zeros(0, np.int64)  # only equal sets link
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes))])
         for top in self.tops(len(hashes)):
-            cuts, e = self.scheme(top)
+            cuts, e, thin = self.scheme(top)
             at = np.concatenate([[0], np.searchsorted(hashes, cuts), [len(hashes)]])
-            full = np.diff(at) > 0
+            sizes = np.diff(at)
             content = sums[at[1:]] - sums[at[:-1]]
-            if np.count_nonzero(~full) <= e:
-                content, groups = content[full], np.flatnonzero(full)
-            else:
-                groups = np.arange(len(full))
+            groups = np.arange(len(sizes))
+            for most in range(thin, -1, -1):
+                if np.count_nonzero(sizes <= most) <= e:
+                    groups = np.flatnonzero(sizes > most)
+                    break
+            content = content[groups]
             out.append(mixed(content + groups.astype(np.uint64) * ODD[0] + np.uint64(top * ODDS[1] % (1 << 64))))
         return np.concatenate(out).view(np.int64)
 
@@ -186,11 +202,12 @@ class RTree:
     def __init__(self, counts: np.ndarray):
         self.order = np.argsort(counts.sum(1), kind="stable")
         counts = counts[self.order]
-        self.levels = [(counts, counts.sum(1))]  # coordinate maxima and least size of each box
+        folded = counts.reshape(len(counts), FOLDED, -1).sum(2, dtype=np.uint32)
+        self.levels = [(counts, counts.sum(1), folded)]  # coordinate maxima, least size and folded maxima of each box
         while len(self.levels[-1][0]) > NODE:
-            high, least = self.levels[-1]
+            high, least, folded = self.levels[-1]
             cuts = np.arange(0, len(high), NODE)
-            self.levels.append((np.maximum.reduceat(high, cuts), np.minimum.reduceat(least, cuts)))
+            self.levels.append((np.maximum.reduceat(high, cuts), np.minimum.reduceat(least, cuts), np.maximum.reduceat(folded, cuts)))
 
     def pairs(self, other: RTree, link: Link) -> tuple[np.ndarray, np.ndarray]:
         """Indices of points whose summed minima allow a link."""
@@ -204,8 +221,10 @@ class RTree:
             keep = np.zeros(len(i), bool)
             for a in range(0, len(i), 8192):
                 s = slice(a, a + 8192)
-                common = np.minimum(mine[0][i[s]], its[0][j[s]]).sum(1, dtype=np.int64)
-                keep[s] = link.linked(mine[1][i[s]].astype(np.int64), its[1][j[s]].astype(np.int64), common)
+                sizes = mine[1][i[s]].astype(np.int64), its[1][j[s]].astype(np.int64)
+                ok = np.flatnonzero(link.linked(*sizes, np.minimum(mine[2][i[s]], its[2][j[s]]).sum(1, dtype=np.int64)))
+                common = np.minimum(mine[0][i[s][ok]], its[0][j[s][ok]]).sum(1, dtype=np.int64)
+                keep[a + ok] = link.linked(sizes[0][ok], sizes[1][ok], common)
             i, j = i[keep], j[keep]
         return self.order[i], other.order[j]
 
@@ -223,16 +242,18 @@ class RTree:
 
 
 def tree_pairs(link: Link):
-    """Pairs of different components within a group (one chunk with itself or another) that may link."""
+    """Pairs of different components, of a chunk outside the largest component and a chunk of all sets, that may link."""
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
         counts = np.array([unpacked(c) for c in frame.counts])
-        left, right = (np.flatnonzero(frame.chunk.to_numpy() == c) for c in (frame.chunk.min(), frame.chunk.max()))
+        left, right = (np.flatnonzero(frame.whole.to_numpy() == x) for x in (False, True))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
         i, j = RTree(counts[left]).pairs(RTree(counts[right]), link)
         sid, root = frame.sid.to_numpy(), frame.root.to_numpy()
         a, b = left[i], right[j]
-        keep = (root[a] != root[b]) & ((len(left) != len(right)) | (left[0] != right[0]) | (sid[a] < sid[b]))
-        return pd.DataFrame({"u": sid[a][keep], "v": sid[b][keep]})
+        a, b = (x[root[a] != root[b]] for x in (a, b))
+        return pd.DataFrame({"u": np.minimum(sid[a], sid[b]), "v": np.maximum(sid[a], sid[b])})
 
     return pairs
 
@@ -257,12 +278,14 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     release(spark)
     roots = components(links)
     named = members.select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
-    split = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("sid")) - 1
-    left = named.join(split, "key").join(sets.select("sid", "counts"), "sid").withColumn("chunk", (rank / CHUNK).cast("int"))
-    left = left.withColumn("chunks", F.max("chunk").over(Window.partitionBy("key")))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks")))).select("key", "sid", "root", "counts", "chunk", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"))
-    pairs = left.groupBy("key", "p", "q").applyInPandas(tree_pairs(link), "u long, v long").distinct()
+    per = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+    per = per.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("c")).where("c > 1")
+    split = per.selectExpr("key", "main.root as main", "cast(ceil(all / {0}) as int) as q".format(CHUNK), "cast(ceil((all - main.n) / {0}) as int) as p".format(CHUNK))
+    split = named.join(split, "key").withColumn("h", F.xxhash64("sid"))
+    every = split.select("key", "sid", "root", F.lit(True).alias("whole"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("p"), F.expr("cast(pmod(h, q) as int)").alias("q"))
+    minor = split.where("root != main").select("key", "sid", "root", F.lit(False).alias("whole"), F.expr("cast(pmod(h, p) as int)").alias("p"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("q"))
+    met = every.union(minor).join(sets.select("sid", "counts"), "sid")
+    pairs = met.groupBy("key", "p", "q").applyInPandas(tree_pairs(link), "u long, v long").distinct()
     more = written(verified(pairs, sets, link).union(links), "links")
     release(spark)
     final = components(more)
