@@ -7,7 +7,7 @@ at least num / den. Linked sets of a and b shingles differ in at most d = (den -
    d hashes have 1 + e equal groups at least. Where e allows it, groups of one hash are left out as well as empty ones: a
    passage that many documents share gives such groups. A set with over e of them keeps them, and one with over e empty
    groups keeps all. Two such sets have a kept group in common in each case. A group's exact content is a key; sets that
-   share a key are candidates. Equal sets are one set.
+   share a key are candidates. Equal sets are one set, and keys of the same sets are one key.
 2. Candidates of a key first meet its least set: their count vectors (hashes per group of DIMENSIONS) bound the overlap by
    the sum of coordinate minima, and survivors are verified on the sets. Verified links form components.
 3. Where a key still has several components, its sets outside the largest one meet all its sets in R-trees over count
@@ -23,11 +23,10 @@ Only doc_id and text are read. Sets are told apart by 64-bit sums of mixed hashe
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelfurrow.llm.common import blocks, by_value, discard, release, written
@@ -242,18 +241,34 @@ class RTree:
 
 
 def tree_pairs(link: Link):
-    """Pairs of different components, of a chunk outside the largest component and a chunk of all sets, that may link."""
+    """Of rows sorted by key, p and q: pairs of different components, of a chunk outside the key's largest component and a
+    chunk of all its sets, that may link. A chunk pair may end in a later batch."""
 
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        counts = np.array([unpacked(c) for c in frame.counts])
-        left, right = (np.flatnonzero(frame.whole.to_numpy() == x) for x in (False, True))
+    def group(rows: list[tuple]):
+        _, _, _, sid, root, whole, counts = zip(*rows, strict=True)
+        sid, root, whole = np.array(sid), np.array(root), np.array(whole)
+        left, right = np.flatnonzero(~whole), np.flatnonzero(whole)
         if not len(left) or not len(right):
-            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+            return left, right
+        counts = np.array([unpacked(c) for c in counts])
         i, j = RTree(counts[left]).pairs(RTree(counts[right]), link)
-        sid, root = frame.sid.to_numpy(), frame.root.to_numpy()
         a, b = left[i], right[j]
-        a, b = (x[root[a] != root[b]] for x in (a, b))
-        return pd.DataFrame({"u": np.minimum(sid[a], sid[b]), "v": np.maximum(sid[a], sid[b])})
+        a, b = (sid[x[root[a] != root[b]]] for x in (a, b))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def pairs(batches):
+        rest = []
+        for batch in batches:
+            found = [[], []]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rest and rest[-1][:3] != row[:3]:
+                    for out, x in zip(found, group(rest), strict=True):
+                        out.extend(x.tolist())
+                    rest = []
+                rest.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["u", "v"])
+        if rest:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in group(rest)], ["u", "v"])
 
     return pairs
 
@@ -264,9 +279,11 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = written(docs.mapInArrow(sketch_rows(k, link), "doc_id long, n long, sid long, keys array<long>"), "sketch")
     keyed = sketch.select("sid", F.explode("keys").alias("key")).repartition("key").groupBy("key", "sid").agg(F.lit(1).alias("x"))
-    by_key = Window.partitionBy("key")
-    members = keyed.select("key", "sid", F.min("sid").over(by_key).alias("u"), F.max("sid").over(by_key).alias("last")).where(F.col("u") != F.col("last"))
-    members = written(members.select("key", "sid", "u"), "members")
+    prints = [F.bit_xor(F.xxhash64("sid", F.lit(x))).alias(f"x{x}") for x in (0, 1)]
+    keys = keyed.groupBy("key").agg(F.min("sid").alias("u"), F.count("*").alias("c"), *prints).where("c > 1")
+    keys = keys.groupBy("c", "x0", "x1").agg(F.min("key").alias("key"), F.min("u").alias("u")).select("key", "u")
+    members = keyed.join(keys, "key").select("key", "sid", "u")  # keys of the same sets are one key
+    members = written(members, "members")
     release(spark)
     some = members.select("sid").distinct()
     reps = sketch.where("n > 0").select("sid", "doc_id").join(some, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
@@ -285,7 +302,8 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     every = split.select("key", "sid", "root", F.lit(True).alias("whole"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("p"), F.expr("cast(pmod(h, q) as int)").alias("q"))
     minor = split.where("root != main").select("key", "sid", "root", F.lit(False).alias("whole"), F.expr("cast(pmod(h, p) as int)").alias("p"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("q"))
     met = every.union(minor).join(sets.select("sid", "counts"), "sid")
-    pairs = met.groupBy("key", "p", "q").applyInPandas(tree_pairs(link), "u long, v long").distinct()
+    met = met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "sid", "root", "whole", "counts")
+    pairs = met.mapInArrow(tree_pairs(link), "u long, v long").distinct()
     more = written(verified(pairs, sets, link).union(links), "links")
     release(spark)
     final = components(more)
