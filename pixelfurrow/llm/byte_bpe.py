@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -74,12 +75,12 @@ def splitter(pattern: str) -> Splitter:
 
 def count_pretokens(pattern: str):
     def count(batches):
-        split, chunks, words = splitter(pattern), {}, {}
+        split, chunks, words = splitter(pattern), Counter(), Counter()
 
         def flush():
             for chunk, n in chunks.items():
                 for w in split.of(chunk, False):
-                    words[w] = words.get(w, 0) + n
+                    words[w] += n
             chunks.clear()
             out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
             words.clear()
@@ -89,13 +90,10 @@ def count_pretokens(pattern: str):
             for text in batch.column(0).to_pylist():
                 parts = split.chunks(text) if text else []
                 if parts is None:
-                    for w in split.find(text):
-                        words[w] = words.get(w, 0) + 1
+                    words.update(split.find(text))
                 elif parts:
-                    for w in split.of(parts[0], True):
-                        words[w] = words.get(w, 0) + 1
-                    for c in parts[1:]:
-                        chunks[c] = chunks.get(c, 0) + 1
+                    words.update(split.of(parts[0], True))
+                    chunks.update(parts[1:])
                 if len(chunks) + len(words) > 1_000_000:
                     yield flush()
         yield flush()
@@ -136,14 +134,26 @@ def _frequent(words: DataFrame) -> dict[str, bytes]:
     return {r.word: bytes(r.ids) for r in sorted(rows, key=lambda r: -r.n)}  # low numbers for the commonest pack best
 
 
-def packed(seq: bytes) -> bytes:
-    """Unsigned 32-bit numbers as compressed planes of their bytes."""
-    return zstandard.compress(np.frombuffer(seq, np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def packed(seq: bytes, base: int, start: int) -> bytes:
+    """Unsigned 32-bit numbers as compressed planes of their bytes. The block numbers its rare pre-tokens as they come, so
+    one that is new there is packed as 0, and any other number as one more than it is; start counts those before this row."""
+    at = np.frombuffer(seq, np.uint32)
+    rare = np.flatnonzero(at >= base)
+    values = at[rare].astype(np.int64) - base
+    before = np.maximum.accumulate(np.concatenate([[start - 1], values]))[:-1]
+    at = at + np.uint32(1)
+    at[rare[values > before]] = 0
+    return zstandard.compress(at.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
-def unpacked(raw: bytes) -> list[int]:
+def unpacked(raw: bytes, base: int, start: int) -> list[int]:
     planes = np.frombuffer(zstandard.decompress(raw), np.uint8)
-    return planes.reshape(4, -1).T.copy().view(np.uint32).ravel().tolist() if len(planes) else []
+    if not len(planes):
+        return []
+    at = planes.reshape(4, -1).T.copy().view(np.uint32).ravel() - np.uint32(1)
+    new = np.flatnonzero(at == np.uint32(0xFFFFFFFF))
+    at[new] = base + start + np.arange(len(new))
+    return at.tolist()
 
 
 class Frequent:
@@ -153,8 +163,8 @@ class Frequent:
 
 
 def position_rows(shared, key, pattern: str, rare: bool):
-    """rare: the blocks' distinct pre-tokens that aren't frequent (block, k, word). Otherwise the documents (block, doc_id,
-    seq), seq being numbers of frequent pre-tokens, or their count plus k."""
+    """rare: the blocks' distinct pre-tokens that aren't frequent (block, k, word), k counting them as they come. Otherwise
+    the documents (block, doc_id, start, seq): seq holds numbers of frequent pre-tokens, or their count plus k, packed."""
 
     def rows(batches):
         split = splitter(pattern)
@@ -165,28 +175,43 @@ def position_rows(shared, key, pattern: str, rare: bool):
             for a, b in blocks(texts, BLOCK):
                 block = int.from_bytes(hashlib.blake2b(repr((docs[a:b], [len(t or "") for t in texts[a:b]])).encode() + (texts[a] or "")[:99].encode(), digest_size=8).digest(), "little", signed=True)
                 own: dict[str, int] = {}
-                known: dict[str, bytes] = {}
-                seqs = []
+
+                if rare:
+                    chunks: dict[str, None] = {}
+                    for text in texts[a:b]:
+                        parts = split.chunks(text) if text else []
+                        words = split.find(text) if parts is None else split.of(parts[0], True) if parts else ()
+                        for w in words:
+                            if w not in at:
+                                own.setdefault(w, len(own))
+                        for c in dict.fromkeys(parts[1:] if parts else ()):
+                            if c not in chunks:
+                                chunks[c] = None
+                                for w in split.of(c, False):
+                                    if w not in at:
+                                        own.setdefault(w, len(own))
+                    n = len(own)
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(own, pa.string())], ["block", "k", "word"])
+                    continue
 
                 def number(words):
                     return b"".join([(x if (x := at.get(w)) is not None else base + own.setdefault(w, len(own))).to_bytes(4, "little") for w in words])
 
+                known: dict[str, bytes] = {}
+                starts, seqs = [], []
                 for text in texts[a:b]:
+                    starts.append(len(own))
                     parts = split.chunks(text) if text else []
                     if parts is None:
-                        seqs.append(number(split.find(text)))
+                        seqs.append(packed(number(split.find(text)), base, starts[-1]))
                         continue
                     head = number(split.of(parts[0], True)) if parts else b""
                     rest = parts[1:]
-                    for c in set(rest):
+                    for c in dict.fromkeys(rest):
                         if c not in known:
                             known[c] = number(split.of(c, False))
-                    seqs.append(head + b"".join(map(known.__getitem__, rest)))
-                if rare:
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(own, pa.string())], ["block", "k", "word"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * (b - a), pa.int64()), batch.column(0).slice(a, b - a), pa.array(map(packed, seqs), pa.binary())], ["block", "doc_id", "seq"])
+                    seqs.append(packed(head + b"".join(map(known.__getitem__, rest)), base, starts[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * (b - a), pa.int64()), batch.column(0).slice(a, b - a), pa.array(starts, pa.int32()), pa.array(seqs, pa.binary())], ["block", "doc_id", "start", "seq"])
 
     return rows
 
@@ -202,7 +227,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public
     shared, key = spark.sparkContext.broadcast(Frequent(_frequent(words))), uuid.uuid4().hex
     rare = docs.mapInArrow(position_rows(shared, key, pattern, True), "block long, k int, word string")
     rare = rare.join(words.select("word", F.col("ids").alias("word_ids")), "word").select("block", "k", "word_ids")
-    seqs = docs.mapInArrow(position_rows(shared, key, pattern, False), "block long, doc_id long, seq binary")
+    seqs = docs.mapInArrow(position_rows(shared, key, pattern, False), "block long, doc_id long, start int, seq binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         token = kept(("tokens", vocabulary), lambda: {i: b for b, i in ranks(vocabulary).items()})
@@ -214,8 +239,8 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public
             own[k] = r
         own_text = tail(own)
         out: list[list] = [[], [], [], [], []]
-        for doc, seq in zip(left.column("doc_id").to_pylist(), left.column("seq").to_pylist(), strict=True):
-            at = unpacked(seq)
+        for doc, start, seq in zip(*(left.column(c).to_pylist() for c in ("doc_id", "start", "seq")), strict=True):
+            at = unpacked(seq, base, start)
             raw = b"".join([common[i] if i < base else own[i - base] for i in at])
             text = ",".join([common_text[i] if i < base else own_text[i - base] for i in at])
             back = b"".join(map(token.__getitem__, np.frombuffer(raw, np.uint32).tolist()))
