@@ -13,7 +13,8 @@ at least num / den. Linked sets of a and b shingles differ in at most d = (den -
 3. Where a key still has several components, its sets outside the largest one meet all its sets in R-trees over count
    vectors, in chunks of bounded size; boxes whose summed minima can't reach the overlap are dropped, on vectors folded to
    FOLDED coordinates first, and surviving pairs of different components are verified. So every link between different
-   components of a key is found, and no key emits pairs inside a component.
+   components of a key is found, and no key emits pairs inside a component. Sets carry their LEAST least keys of this kind,
+   and a pair that has a smaller one in common is left to that key, which finds it too; so few keys repeat a pair.
 
 Defined results: text without words, and null, gives an empty set, linked with nothing and its own component. Fewer words
 than a shingle give the whole sequence as one shingle. Rows that repeat a doc_id are of one component if their sets link.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pixelfurrow.llm.common import blocks, by_value, discard, release, written
 from pixelfurrow.llm.components import components
 
-DIMENSIONS, FOLDED, CHUNK, NODE, SMALL = 512, 64, 1024, 16, 500_000
+DIMENSIONS, FOLDED, CHUNK, NODE, SMALL, LEAST = 512, 64, 1024, 16, 500_000, 16
 ODDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9]
 ODD = np.array(ODDS, np.uint64)
 
@@ -245,7 +246,7 @@ def tree_pairs(link: Link):
     chunk of all its sets, that may link. A chunk pair may end in a later batch."""
 
     def group(rows: list[tuple]):
-        _, _, _, sid, root, whole, counts = zip(*rows, strict=True)
+        key, _, _, sid, root, whole, counts, least = zip(*rows, strict=True)
         sid, root, whole = np.array(sid), np.array(root), np.array(whole)
         left, right = np.flatnonzero(~whole), np.flatnonzero(whole)
         if not len(left) or not len(right):
@@ -253,7 +254,10 @@ def tree_pairs(link: Link):
         counts = np.array([unpacked(c) for c in counts])
         i, j = RTree(counts[left]).pairs(RTree(counts[right]), link)
         a, b = left[i], right[j]
-        a, b = (sid[x[root[a] != root[b]]] for x in (a, b))
+        a, b = (x[root[a] != root[b]] for x in (a, b))
+        least = [frozenset(x) for x in least]
+        here = [min(least[x] & least[y], default=key[0]) >= key[0] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        a, b = (sid[x[np.array(here, bool)]] for x in (a, b))
         return np.minimum(a, b), np.maximum(a, b)
 
     def pairs(batches):
@@ -301,8 +305,9 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     split = named.join(split, "key").withColumn("h", F.xxhash64("sid"))
     every = split.select("key", "sid", "root", F.lit(True).alias("whole"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("p"), F.expr("cast(pmod(h, q) as int)").alias("q"))
     minor = split.where("root != main").select("key", "sid", "root", F.lit(False).alias("whole"), F.expr("cast(pmod(h, p) as int)").alias("p"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("q"))
-    met = every.union(minor).join(sets.select("sid", "counts"), "sid")
-    met = met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "sid", "root", "whole", "counts")
+    least = split.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST).alias("least"))  # a set has no more keys than shingles
+    met = every.union(minor).join(sets.select("sid", "counts").join(least, "sid"), "sid")
+    met = met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "sid", "root", "whole", "counts", "least")
     pairs = met.mapInArrow(tree_pairs(link), "u long, v long").distinct()
     more = written(verified(pairs, sets, link).union(links), "links")
     release(spark)
