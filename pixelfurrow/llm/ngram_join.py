@@ -282,7 +282,8 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark, link = docs.sparkSession, Link(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = written(docs.mapInArrow(sketch_rows(k, link), "doc_id long, n long, sid long, keys array<long>"), "sketch")
-    keyed = sketch.select("sid", F.explode("keys").alias("key")).repartition("key").groupBy("key", "sid").agg(F.lit(1).alias("x"))
+    exploded = sketch.select("sid", F.explode("keys").alias("key")).where("key is not null and sid is not null")  # as joins ask, so that one exchange serves both uses
+    keyed = exploded.repartition("key").groupBy("key", "sid").agg(F.lit(1).alias("x"))
     prints = [F.bit_xor(F.xxhash64("sid", F.lit(x))).alias(f"x{x}") for x in (0, 1)]
     keys = keyed.groupBy("key").agg(F.min("sid").alias("u"), F.count("*").alias("c"), *prints).where("c > 1")
     keys = keys.groupBy("c", "x0", "x1").agg(F.min("key").alias("key"), F.min("u").alias("u")).select("key", "u")
