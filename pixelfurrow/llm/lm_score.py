@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfurrow.llm.common import blocks, by_value, release, written
+from pixelfurrow.llm.common import blocks, by_value, discard, release, written
 from pixelfurrow.llm.toxicity import words
 
 DISCOUNT, ADD, BLOCK = 0.75, 1000.0, 16 << 20
@@ -122,8 +122,11 @@ def scored(docs: DataFrame, target: DataFrame) -> DataFrame:
     counts = marked.mapInArrow(block_rows(False), "h long, w long, n0 long, n1 long, t0 long, t1 long").groupBy("h", "w").agg(*(F.sum(c).alias(c) for c in COUNTS))
     counts = written(counts, "bigrams")
     release(spark)
+    bits = written(losses(counts), "losses")  # so that its joins' shuffles go before the next ones are made
+    discard(counts)
+    release(spark)
     own = docs.select("doc_id", "text").mapInArrow(block_rows(True), "block long, k int, h long, w long")
-    back = own.join(losses(counts), ["h", "w"]).select("block", "k", "diff0", "diff1")
+    back = own.join(bits, ["h", "w"]).select("block", "k", "diff0", "diff1")
     seqs = docs.select("doc_id", "text").mapInArrow(document_rows, "block long, doc_id long, seq binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
