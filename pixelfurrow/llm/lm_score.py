@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pixelfurrow.llm.common import blocks, by_value, discard, release, written
 from pixelfurrow.llm.toxicity import words
 
-DISCOUNT, ADD, BLOCK = 0.75, 1000.0, 16 << 20
+DISCOUNT, ADD, BLOCK, SMALL = 0.75, 1000.0, 16 << 20, 500_000
 COUNTS = ["n0", "n1", "t0", "t1"]
 
 
@@ -118,7 +118,9 @@ def losses(counts: DataFrame) -> DataFrame:
 def scored(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, score of each row; docs: doc_id, text, read the same way each time; target: its doc_ids."""
     spark = docs.sparkSession
-    marked = docs.join(target.select("doc_id").distinct().withColumn("target", F.lit(True)), "doc_id", "left").select("doc_id", "text", "target")
+    target = target.select("doc_id").distinct().withColumn("target", F.lit(True))
+    target = F.broadcast(target) if target.count() <= SMALL else target  # beyond that the join shuffles the texts
+    marked = docs.join(target, "doc_id", "left").select("doc_id", "text", "target")
     counts = marked.mapInArrow(block_rows(False), "h long, w long, n0 long, n1 long, t0 long, t1 long").groupBy("h", "w").agg(*(F.sum(c).alias(c) for c in COUNTS))
     counts = written(counts, "bigrams")
     release(spark)
