@@ -10,13 +10,13 @@ is positive. The sum over a document's segments goes through an isotonic fit to
 
 Defined results: null and empty texts have no segment and get the rate of such documents. Ties and repeated rows get
 equal results. Without labels every document scores the neutral 0. Only doc_id and text are read, so other columns may
-be there. The learning sample is bounded by `limit` rows, so the lexicon is bounded by that sample.
+be there. The learning sample is bounded by `limit` rows, so the lexicon is bounded by that sample. In it near copies of one
+label, whose similarity is verified, count once; all other labelled rows count.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelfurrow.llm.common import by_value, discard, fold, isotonic, training_labels, written
+from pixelfurrow.llm.ngram_join import grouped
 
 LIMIT, PRIOR, Z, LEAST, DRIFT = 40_000, 0.15, 4.0, 1.5, 0.1
-#: Odd multipliers of the hash functions that mark near copies.
-MARKS = {"m1": 0xFF51AFD7ED558CCD, "m2": 0xC4CEB9FE1A85EC53, "m3": 0xD6E8FEB86659FD93, "m4": 0x9FB21C651E98DF25, "m5": 0xA0761D6478BD642F, "m6": 0xE7037ED1A0B428DB}
+#: Near copies: sequences of so many words, and the least Jaccard similarity of their sets.
+NEAR_WORDS, NEAR = 3, (80, 100)
 #: ASCII letters in lower case; digits and bytes over 127 as they are; all else parts words.
 WORDS = bytes((b | 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -51,19 +52,13 @@ def count_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.binary()), *(pa.array([n[k] for n in seen.values()], pa.int64()) for k in (0, 1))], ["word", "clean", "toxic"])
 
 
-def sketch(batches):
-    """Marks of each text: the least hashes of its sequences of three words under as many hash functions."""
-    for batch in batches:
-        marks = np.zeros((batch.num_rows, len(MARKS)), np.int64)
-        for k, text in enumerate(batch.column(1).to_pylist()):
-            found = words(text)
-            h = np.fromiter(map(zlib.crc32, found), np.uint64, len(found)) if found else np.zeros(1, np.uint64)
-            size = min(3, len(h))
-            h = sum((h[j : len(h) - size + 1 + j] * np.uint64(0x9E3779B97F4A7C15 ** (j + 1) % (1 << 64)) for j in range(size)), np.uint64(0))
-            for j, odd in enumerate(MARKS.values()):
-                x = h * np.uint64(odd)
-                marks[k, j] = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(1)).min()
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(marks[:, j]) for j in range(len(MARKS)))], ["doc_id", "text", "label", *MARKS])
+def once(sample: DataFrame) -> DataFrame:
+    """text, label of the rows of sample (row, doc_id, text, label) that remain where near copies of one label count once: of
+    each component of verified links, and of the texts without words, the least doc_id of either label."""
+    near = grouped(sample.select(F.col("row").alias("doc_id"), "text"), NEAR_WORDS, *NEAR)
+    near = near.select(F.col("doc_id").alias("row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("copy")).distinct()
+    least = sample.select("row", "doc_id", "label").join(near, "row").groupBy("copy", "label").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("x.row")
+    return sample.join(F.broadcast(least), "row").dropDuplicates(["row"]).select("text", "label")
 
 
 def segments(scores: list[float], places: list[int], drift: float) -> list[tuple[float, int, int]]:
@@ -134,11 +129,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text. labels: doc_id, label of a bounded sample."""
     spark = docs.sparkSession
     sample = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").where(F.col("text").isNotNull())
-    sample = written(sample.select("doc_id", "text", "label").mapInArrow(sketch, "doc_id long, text string, label int, " + ", ".join(f"{m} long" for m in MARKS)), "toxicity")
-    once = sample.select("doc_id", *MARKS)
-    for mark in MARKS:  # near copies count once: in such a group few documents differ in all marks
-        once = once.groupBy(mark).agg(F.min_by(F.struct("doc_id", *MARKS), "doc_id").alias("x")).select("x.*")
-    sample = written(sample.join(F.broadcast(once.select("doc_id")), "doc_id").select("text", "label"), "toxicity-once")
+    rows = written(sample.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", "label"), "toxicity")
+    sample = written(once(rows), "toxicity-once")
+    discard(rows)
     counts = sample.mapInArrow(count_words, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     both = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = both.get(0, 0), both.get(1, 0)

@@ -354,3 +354,14 @@ def test_topk_sql(spark):
     con.sql(f"create view embeddings as select * from '{data}/embeddings.parquet'")
     out = sorted(tuple(x) for x in topk.op1(spark, data).select("query_id", "rank", "vec_id", "score").collect())
     assert out == sorted(con.sql(topk.ORACLE).fetchall())
+
+
+def test_toxicity_drops_only_verified_copies(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    passage, base = prose(r, 25, words), prose(r, 60, words)
+    rows = [(i, f"{prose(r, 30, words)} {passage} {prose(r, 30, words)}", i % 2) for i in range(40)]  # a shared passage is no copy
+    rows += [(50, base, 0), (51, base + " end", 0), (52, base, 0), (53, base, 1), (54, "", 0), (55, "", 0)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int").withColumn("row", F.xxhash64("doc_id", "text"))
+    expected = [(t, y) for i, t, y in rows if i not in (51, 52, 55)]
+    assert sorted((x.text, x.label) for x in toxicity.once(sample).collect()) == sorted(expected)
