@@ -13,8 +13,10 @@ Rows with equal digits inside one block of texts are combined before the shuffle
 documents share is a row a block at most. Digits are compared as two 64-bit hashes.
 
 Defined results: null is as the empty text. Texts shorter than a window stay whole. A null doc_id comes before all others.
-Rows that repeat a doc_id have to repeat its text; they are one document then, and each gets its result. Texts of any
-length are read in segments. Only doc_id and text are read.
+Rows that repeat a doc_id have to repeat its text; they are one document then, and each gets its result. Rows with a null
+doc_id are documents by their texts (in the order of `own`, a hash of the text, which is 0 where there is an id): equal
+texts are one document, others never share a result. Texts of any length are read in segments. Only doc_id and text are
+read.
 """
 
 from __future__ import annotations
@@ -100,45 +102,48 @@ def windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int)
 
 
 def rows_of(segments: list[tuple[int, int, bytes]], width: int, look) -> pa.RecordBatch:
-    """segments: (doc, place of its first byte, bytes). Rows with equal digits after the earliest are marked dup; their
-    digits no longer matter and are dealt evenly."""
+    """segments: (doc, own, place of its first byte, bytes). Rows with equal digits after the earliest, other than the same
+    document's at the same place, are marked dup; their digits no longer matter and are dealt evenly."""
     parts, k = [], 0
     while k < len(segments):
         own, size = [], 0
         while k < len(segments) and (not own or size < PART):
             own.append(segments[k])
-            size += len(segments[k][2])
+            size += len(segments[k][3])
             k += 1
-        data = np.frombuffer(b"".join(s[2] for s in own), np.uint8)
+        data = np.frombuffer(b"".join(s[3] for s in own), np.uint8)
         if len(data) < width:
             continue
-        sizes = np.array([len(s[2]) for s in own])
+        sizes = np.array([len(s[3]) for s in own])
         found = look(data, np.cumsum(sizes) - sizes, sizes, width)
         if found is not None:
             segment, place, n, a, b = found
-            parts.append((np.array([s[0] for s in own], np.int64)[segment], place + np.array([s[1] for s in own], np.int64)[segment], n, a, b))
+            doc, mark, first = (np.array([s[j] for s in own], np.int64)[segment] for j in range(3))
+            parts.append((doc, mark, place + first, n, a, b))
     if not parts:
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5 + [pa.array([], pa.bool_())], NAMES)
-    doc, at, n, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((at, doc, b, a))
-    doc, at, n, a, b = doc[order], at[order], n[order], a[order], b[order]
-    dup = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 6 + [pa.array([], pa.bool_())], NAMES)
+    doc, mark, at, n, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((at, mark, doc, b, a))
+    doc, mark, at, n, a, b = doc[order], mark[order], at[order], n[order], a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))  # of the rows with equal digits
+    dup = (doc != doc[first]) | (mark != mark[first]) | (at != at[first])
     a = np.where(dup, mixed(doc.view(np.uint64) * BASE + at.astype(np.uint64)), a)
-    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (a.view(np.int64), b.view(np.int64), doc, at.astype(np.int64), n.astype(np.int64))), pa.array(dup)], NAMES)
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (a.view(np.int64), b.view(np.int64), doc, mark, at.astype(np.int64), n.astype(np.int64))), pa.array(dup)], NAMES)
 
 
-NAMES = ["a", "b", "doc", "at", "n", "dup"]
-ROWS = "a long, b long, doc long, at long, n long, dup boolean"
+NAMES = ["a", "b", "doc", "own", "at", "n", "dup"]
+ROWS = "a long, b long, doc long, own long, at long, n long, dup boolean"
 
 
 def run_rows(width: int):
     def rows(batches):
         held, size = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
                 for at in range(0, max(1, len(raw) - width + 1), SEGMENT):
-                    held.append((doc, at, raw[at : at + SEGMENT + width - 1]))
+                    held.append((doc, own, at, raw[at : at + SEGMENT + width - 1]))
                 size += len(raw)
                 if size >= BLOCK:
                     yield rows_of(held, width, runs)
@@ -152,10 +157,10 @@ def window_rows(width: int):
     def rows(batches):
         held, size = [], 0
         for batch in batches:
-            for doc, text, needs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc, own, text, needs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
                 for need in needs:
-                    held.append((doc, need["at"], raw[need["at"] : need["at"] + need["n"] + width - 1]))
+                    held.append((doc, own, need["at"], raw[need["at"] : need["at"] + need["n"] + width - 1]))
                     size += need["n"] + width
                 if size >= BLOCK // 8:
                     yield rows_of(held, width, windows)
@@ -174,27 +179,34 @@ def covered(size: int, spans, width: int) -> np.ndarray:
     return np.cumsum(edge[:size]) > 0
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """rows with k: 1 for the earliest of equal digits, and for what repeats it as the same document's."""
+    return rows.select("*", F.rank().over(Window.partitionBy("a", "b", "dup").orderBy("doc", "own", "at")).alias("k"))
+
+
 def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc, at, n): the starts from at on, n of them, of windows that also start earlier; docs: doc, text. Written."""
+    """(doc, own, at, n): the starts from at on, n of them, of windows that also start earlier; docs: doc, own, text. Written."""
     spark = docs.sparkSession
-    found = docs.mapInArrow(run_rows(width), ROWS).repartition("a").select("*", F.row_number().over(Window.partitionBy("a", "b", "dup").orderBy("doc", "at")).alias("k"))
+    found = ranked(docs.mapInArrow(run_rows(width), ROWS).repartition("a"))
     bucket = Window.partitionBy("a")
     found = found.select("*", (F.min("b").over(bucket) != F.max("b").over(bucket)).alias("more"))
-    found = written(found.select("doc", "at", "n", (F.col("dup") | (F.col("k") > 1)).alias("again"), "more").where("again or more"), "runs")
+    found = written(found.select("doc", "own", "at", "n", (F.col("dup") | (F.col("k") > 1)).alias("again"), "more").where("again or more"), "runs")
     release(spark)
-    needs = found.where("not again").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("needs"))
-    parts = docs.join(needs, "doc").select("doc", "text", "needs").mapInArrow(window_rows(width), ROWS).repartition("a")
-    again = parts.select("*", F.row_number().over(Window.partitionBy("a", "b", "dup").orderBy("doc", "at")).alias("k")).where(F.col("dup") | (F.col("k") > 1))
-    out = written(found.where("again").select("doc", "at", "n").union(again.select("doc", "at", "n")), "repeated")
+    needs = found.where("not again").groupBy("doc", "own").agg(F.collect_set(F.struct("at", "n")).alias("needs"))
+    parts = docs.join(needs, ["doc", "own"]).select("doc", "own", "text", "needs").mapInArrow(window_rows(width), ROWS).repartition("a")
+    again = ranked(parts).where(F.col("dup") | (F.col("k") > 1))
+    out = written(found.where("again").select("doc", "own", "at", "n").union(again.select("doc", "own", "at", "n")), "repeated")
     release(spark)
     return out
 
 
 def spanned(docs: DataFrame, width: int) -> DataFrame:
     """docs with its repeated windows: columns of docs, and spans."""
-    spans = repeated(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc"), "text"), width)
-    spans = spans.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
-    return docs.join(spans, F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST_ID)) == F.col("_doc"), "left")
+    doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST_ID))
+    own = F.when(docs["doc_id"].cast("long").isNull(), F.xxhash64(F.coalesce(docs["text"], F.lit("")))).otherwise(F.lit(0))
+    spans = repeated(docs.select(doc.alias("doc"), own.alias("own"), "text"), width)
+    spans = spans.groupBy(F.col("doc").alias("_doc"), F.col("own").alias("_own")).agg(F.collect_set(F.struct("at", "n")).alias("_spans"))
+    return docs.join(spans, (doc == F.col("_doc")) & (own == F.col("_own")), "left")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:

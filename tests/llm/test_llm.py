@@ -365,3 +365,20 @@ def test_toxicity_drops_only_verified_copies(spark):
     sample = spark.createDataFrame(rows, "doc_id long, text string, label int").withColumn("row", F.xxhash64("doc_id", "text"))
     expected = [(t, y) for i, t, y in rows if i not in (51, 52, 55)]
     assert sorted((x.text, x.label) for x in toxicity.once(sample).collect()) == sorted(expected)
+
+
+def test_suffix_dedup_keeps_one_of_repeated_rows(spark):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared, t = text(150), text(400)
+    rows = [(5, t), (5, t), (6, text(200) + t[100:300]), (7, shared + text(50))]
+    rows += [(8, shared), *((i, t) for i in (9, 9)), (10, text(99))]
+    empty = [(None, text(180)), (None, text(120) + shared), (None, "z" + text(130)), (None, None)]
+    rows += empty + empty[:1]
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    distinct = list({(i, x): None for i, x in rows if i is not None})
+    brute = dedup_brute([(-1, empty[1][1]), *distinct])
+    expected = [(i, *brute[i]) for i, _ in rows if i is not None] + [(None, len(x or ""), 0, 0, digest((x or "").encode())) for i, x in rows if i is None]
+    for parts in (1, 3):
+        out = [tuple(x) for x in suffix_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()]
+        assert sorted(out, key=str) == sorted(expected, key=str)
