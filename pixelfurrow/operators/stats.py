@@ -61,6 +61,18 @@ def permutations(rows: DataFrame, draws: int) -> DataFrame:
     return grid.select("draw", "i", (F.row_number().over(Window.partitionBy("draw").orderBy(mixed_hash(F.col("draw"), F.col("i")), "i")) - 1).alias("source"))
 
 
+def max_statistic(long: DataFrame, draws: int) -> DataFrame:
+    """long: i (0..n-1), feature, value, label (one of each i). The largest abs(r) of all features, the number of draws whose
+    largest reaches it, and p; a draw permutes the labels once for all features."""
+    labels = long.groupBy("i").agg(F.min("label").alias("y"))
+    shuffled = permutations(labels, draws).join(labels.select(F.col("i").alias("source"), "y"), "source").select("draw", "i", "y")
+    r = shuffled.join(long.select("i", "feature", "value"), "i").groupBy("draw", "feature").agg(pearson(F.col("value"), F.col("y")).alias("r"))
+    best = r.groupBy("draw").agg(F.max(F.abs("r")).alias("s"))
+    seen = long.groupBy("feature").agg(pearson(F.col("value"), F.col("label")).alias("r")).agg(F.max(F.abs("r")).alias("o"))
+    k = F.count_if(F.col("s") >= F.col("o") - 1e-12)
+    return best.crossJoin(F.broadcast(seen)).agg(F.max("o").alias("observed"), k.alias("exceeding"), ((1 + k) / (1 + F.count("*"))).alias("p"))
+
+
 def classification(rows: DataFrame, by: list[str], truth: str, score: str, threshold: float) -> DataFrame:
     """accuracy, balanced accuracy, F1 and ROC AUC by group."""
     r = rows.withColumn("rank", average_rank(score, *by)).withColumn("hit", (F.col(score) >= threshold).cast("int"))

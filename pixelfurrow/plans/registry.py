@@ -270,6 +270,16 @@ def permutation_test(spark, d):
     return rounded(c.crossJoin(F.broadcast(o)).agg(F.max("o").alias("observed"), k.alias("exceeding"), ((1 + k) / (1 + F.count("*"))).alias("p")))
 
 
+@query(", n AS (SELECT sample, row_number() OVER (ORDER BY sample) - 1 AS i, label::DOUBLE AS b FROM feature_long WHERE feature = 0)" + f", g AS (SELECT draw, i, row_number() OVER (PARTITION BY draw ORDER BY {HASH}, i) - 1 AS source FROM n, range(1, 1001) t(draw)), c AS (SELECT draw, feature, corr(value, y.b) AS s FROM g JOIN n x ON x.i = g.i JOIN feature_long f ON f.sample = x.sample JOIN n y ON y.i = g.source GROUP BY 1, 2), m AS (SELECT draw, max(abs(s)) AS s FROM c GROUP BY 1), o AS (SELECT max(abs(s)) AS s FROM (SELECT corr(value, label::DOUBLE) AS s FROM feature_long GROUP BY feature)) SELECT round(any_value(o.s), 6) AS observed, count(*) FILTER (WHERE m.s >= o.s - 1e-12) AS exceeding, round((1.0 + count(*) FILTER (WHERE m.s >= o.s - 1e-12)) / (1 + count(*)), 6) AS p FROM m, o")
+def max_statistic_permutation(spark, d):
+    """All features, 1,000 draws, one p for the scan (R3)."""
+    from pyspark.sql import Window
+
+    long = feature_long(spark, d)
+    place = long.where("feature = 0").select("sample", (F.row_number().over(Window.orderBy("sample")) - 1).alias("i"))
+    return rounded(T.max_statistic(long.join(place, "sample").select("i", "feature", "value", F.col("label").cast("double").alias("label")), 1000))
+
+
 PRESENCE = ", pr AS (SELECT d.doc_id, lang, toxic AS truth, (d.n_chars % 1000) / 1000.0::DOUBLE AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id), k AS (SELECT *, " + RANK.format(by="lang", v="score") + " AS rk FROM pr), s AS (SELECT lang, count(*) AS n, sum(truth) AS pos, count(*) FILTER (WHERE truth = 1 AND score >= 0.5) AS tp, count(*) FILTER (WHERE truth = 0 AND score < 0.5) AS tn, count(*) FILTER (WHERE truth = 0 AND score >= 0.5) AS fp, sum(rk) FILTER (WHERE truth = 1) AS ranks FROM k GROUP BY 1) "
 
 
