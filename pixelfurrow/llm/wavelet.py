@@ -157,11 +157,16 @@ def from_bytes(raw: bytes) -> tuple[WaveletMatrix, dict]:
 
 class Encoder:
     """Ids by the tokenizers library, each distinct chunk between spaces once. A chunk of Latin letters with marks after them
-    needs no normaliser and splits by sight; others go through the library's normaliser and pre-tokenizer."""
+    needs no normaliser and splits by sight; others go through the library's normaliser and pre-tokenizer. The library cuts
+    texts at its added tokens before all that, so a text that may hold one goes through the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.all = Tokenizer.from_file(path)
+        added = self.all.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not t.normalized]
+        self.first = {t[0] for t in self.added}
+        self.whole = any(t.normalized for t in added)  # these are looked for in the normal text
         self.chunks: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -196,6 +201,8 @@ class Encoder:
         """Unsigned 32-bit little endian ids."""
         if not text:
             return b""
+        if self.whole or (any(c in text for c in self.first) and any(t in text for t in self.added)):
+            return np.array(self.all.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         return b"".join(map(self.chunk, text.replace("\n", " ").split(" ")))
 
 

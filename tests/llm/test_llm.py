@@ -382,3 +382,11 @@ def test_suffix_dedup_keeps_one_of_repeated_rows(spark):
     for parts in (1, 3):
         out = [tuple(x) for x in suffix_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()]
         assert sorted(out, key=str) == sorted(expected, key=str)
+
+
+def test_wavelet_ids_of_added_tokens(spark):
+    library, own = Tokenizer.from_file(wavelet.VOCABULARY), wavelet.Encoder(wavelet.VOCABULARY)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y\n<|endoftext|><|endoftext|>", "<|EndOfText|> <| endoftext|> <|endoftext", "Word's <|startoftext|> é  12?"]
+    for t in texts:
+        assert np.frombuffer(own.ids(t), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert {49406, 49407} <= {x for t in texts for x in np.frombuffer(own.ids(t), np.uint32).tolist()}
