@@ -4,7 +4,8 @@ Texts are compared in lower case with white space runs as one space. An item of
 at most k edits shares at least (m - q + 1) - k * q of its q-grams there, all within k diagonals of each other. So
 documents' q-grams are looked up among those of all items; the hits of an item are counted in diagonal bands of width
 2k + 2 that overlap by half, so that every k + 1 neighbouring diagonals lie in one band; regions with enough hits are
-kept and verified by banded alignment, which also gives the matched stretch.
+kept and verified by banded alignment, which also gives the matched stretch. Items for which the bound is below 1 with q have
+shorter q-grams, the longest with a bound of 1 or more, in an index of their own.
 
 The benchmark is a given query set. Its items go to the workers in blocks of at most BLOCK characters, one pass over the
 documents a block, so that what is sent has a fixed size. Documents are never shuffled, and hot documents, items and
@@ -159,6 +160,19 @@ def matches_in(index: Index, texts: list[str | None]):
     return found
 
 
+def gram_size(m: int, q: int, share: float) -> int:
+    """The longest q-grams, of at most q, of which an item of m characters keeps one through its edits; q for shorter items."""
+    return q if m < q else min(q, m // (int(m * share) + 1))
+
+
+def indexes(items: list[tuple[int, str]], q: int, share: float) -> list[Index]:
+    """The items by the size of their q-grams."""
+    by_size: dict[int, list[tuple[int, str]]] = {}
+    for item in items:
+        by_size.setdefault(gram_size(len(coded(normal(item[1]))), q, share), []).append(item)
+    return [Index(own, size, share) for size, own in sorted(by_size.items())]
+
+
 def item_blocks(benchmark: DataFrame):
     """Lists of (item_id, text) of at most about BLOCK characters each, read one partition at a time."""
     block, size = [], 0
@@ -177,10 +191,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = SHAR
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, edits int, first long, last long"
     for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Index(block, q, share))
+        shared = spark.sparkContext.broadcast(indexes(block, q, share))
 
         def rows(batches, shared=shared):
-            index = shared.value
             for batch in batches:
                 ids, texts, k = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
                 while k < len(texts):
@@ -188,10 +201,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = SHAR
                     while k < len(texts) and (k == first or size < PART):
                         size += len(texts[k] or "")
                         k += 1
-                    best = {}
-                    for m in matches_in(index, texts[first:k]):
-                        best[m[:2]] = min(best.get(m[:2], m), m)
-                    found = [(ids[first + d], index.ids[i], e, a, b) for d, i, e, a, b in best.values()]
+                    found = []
+                    for index in shared.value:
+                        best = {}
+                        for m in matches_in(index, texts[first:k]):
+                            best[m[:2]] = min(best.get(m[:2], m), m)
+                        found += [(ids[first + d], index.ids[i], e, a, b) for d, i, e, a, b in best.values()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "edits", "first", "last"])
 
         new = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)

@@ -390,3 +390,22 @@ def test_wavelet_ids_of_added_tokens(spark):
     for t in texts:
         assert np.frombuffer(own.ids(t), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids
     assert {49406, 49407} <= {x for t in texts for x in np.frombuffer(own.ids(t), np.uint32).tolist()}
+
+
+def test_decontamination_of_short_items(spark):
+    item = "abcdefghijklmnopqrst"  # 20 characters; 2 edits leave no 8 of them untouched
+    edited = item[:7] + "#" + item[8:14] + "#" + item[15:]
+    r = random.Random(6)
+    items = [(0, item), *((m, "".join(r.choice("abcdefghijklmnopqrstuvw") for _ in range(m))) for m in range(8, 45))]
+    docs, planted = [(1, "1234567890 " + edited + " 0987654321")], {(1, 0)}
+    for m, text in items[1:]:
+        k = int(m * 0.1)
+        for p in range(1, k + 1):
+            at = p * m // (k + 1)
+            text = text[:at] + "#" + text[at + 1 :]
+        docs.append((100 + m, "123 " + text + " 456"))
+        planted.add((100 + m, m))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(docs, SCHEMA), bench).collect()}
+    assert planted <= out
+    assert {(d, i) for d, i in out if least_edits(dict(items)[i], dict(docs)[d]) > int(len(dict(items)[i]) * 0.1) and d - 100 != i} <= planted
