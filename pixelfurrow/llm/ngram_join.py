@@ -18,7 +18,8 @@ at least num / den. Linked sets of a and b shingles differ in at most d = (den -
 
 Defined results: text without words, and null, gives an empty set, linked with nothing and its own component. Fewer words
 than a shingle give the whole sequence as one shingle. Rows that repeat a doc_id are of one component if their sets link.
-Only doc_id and text are read. Sets are told apart by 64-bit sums of mixed hashes.
+A null doc_id is greater than all others: a component has one only where all its rows do, and each row without words and id
+is a component. Only doc_id and text are read. Sets are told apart by 64-bit sums of mixed hashes.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelfurrow.llm.common import blocks, by_value, discard, release, written
 from pixelfurrow.llm.components import components
@@ -278,7 +280,7 @@ def tree_pairs(link: Link):
 
 
 def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id of the component) and set_id of each row of docs."""
+    """doc_id, n_shingles, component_id (least doc_id of the component), set_id and root (a set of the component) of each row."""
     spark, link = docs.sparkSession, Link(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = written(docs.mapInArrow(sketch_rows(k, link), "doc_id long, n long, sid long, keys array<long>"), "sketch")
@@ -291,10 +293,11 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     members = written(members, "members")
     release(spark)
     some = members.select("sid").distinct()
-    reps = sketch.where("n > 0").select("sid", "doc_id").join(some, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    reps = sketch.where("n > 0").select("sid", "doc_id").join(some, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where("doc_id is not null").distinct()
     reps = written(reps, "reps")
     chosen = docs.join(F.broadcast(reps) if reps.count() <= SMALL else reps, "doc_id")
-    sets = written(chosen.select("doc_id", "text").mapInArrow(set_rows(k), "sid long, n long, counts binary, hashes binary").dropDuplicates(["sid"]), "sets")
+    chosen = chosen.select("doc_id", "text").union(docs.where("doc_id is null").select("doc_id", "text"))  # sets that no row with an id has
+    sets = written(chosen.mapInArrow(set_rows(k), "sid long, n long, counts binary, hashes binary").dropDuplicates(["sid"]), "sets")
     release(spark)
     links = written(verified(members.where(F.col("sid") != F.col("u")).select("u", F.col("sid").alias("v")).distinct(), sets, link), "links")
     release(spark)
@@ -317,19 +320,45 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     ids = sketch.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     ids = ids.join(final.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = ids.join(least, "root").select("sid", "component_id")
-    whole = sketch.where("n > 0").select("doc_id", "n", "sid").join(ids, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("sid").alias("set_id"))
-    return whole.union(sketch.where("n = 0").select("doc_id", "n", F.col("doc_id"), "sid"))
+    ids = ids.join(least, "root").select("sid", "root", "component_id")
+    whole = sketch.where("n > 0").select("doc_id", "n", "sid").join(ids, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("sid").alias("set_id"), "root")
+    return whole.union(sketch.where("n = 0").select("doc_id", "n", F.col("doc_id"), "sid", "sid"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     return grouped(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85, 100).select("doc_id", "n_shingles", "component_id")
 
 
+def with_set(k: int, names: list[str]):
+    def rows(batches):
+        memo = {}
+        for batch in batches:
+            ids = [set_id(shingles(t, k, memo)) for t in batch.column(names.index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*names, "_set"])
+
+    return rows
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep each component's document of the least doc_id: five-word shingles, similarity 0.8."""
-    groups = written(grouped(docs, 5, 80, 100).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
-    return docs.join(groups, "doc_id", "left_semi")
+    """Keep each component's row of the least doc_id, null last: five-word shingles, similarity 0.8."""
+    k, names = 5, docs.columns
+    groups = written(grouped(docs, k, 80, 100), "groups")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id")).alias("x")
+    first = groups.where("n_shingles > 0").groupBy("root").agg(least).select("x.doc_id", "x.set_id")
+    kept = written(first.union(groups.where("n_shingles = 0").select("doc_id", "set_id")).distinct(), "kept")
+    often = written(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "often")
+    n = often.count()
+    often = F.broadcast(often) if n <= SMALL else often
+    plain = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    unclear = docs.where("doc_id is null")  # rows that an id doesn't tell apart
+    if n:
+        plain, unclear = plain.join(often, "doc_id", "left_anti"), unclear.union(docs.join(often, "doc_id", "left_semi").select(*names))
+    unclear = unclear.mapInArrow(with_set(k, names), T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType())]))
+    alone = F.col("doc_id").isNull() & (F.col("_set") == 0)
+    keys = kept.select(F.col("doc_id").alias("_doc"), F.col("set_id").alias("_kept"))
+    found = unclear.where(~alone).join(keys, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_set") == F.col("_kept")), "left_semi")
+    one = found.groupBy("doc_id", "_set").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("x")).select("x.*")
+    return plain.select(*names).union(one).union(unclear.where(alone).select(*names))
 
 
 by_value(__name__)

@@ -409,3 +409,20 @@ def test_decontamination_of_short_items(spark):
     out = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(docs, SCHEMA), bench).collect()}
     assert planted <= out
     assert {(d, i) for d, i in out if least_edits(dict(items)[i], dict(docs)[d]) > int(len(dict(items)[i]) * 0.1) and d - 100 != i} <= planted
+
+
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    a, b, c, d = (prose(r, 60, words) for _ in range(4))
+    near = lambda t: t + " end"
+    rows = [(None, a), (None, a), (None, near(a)), (None, b), (3, near(b)), (5, c), (5, c), (6, near(c)), (None, ""), (None, None), (2, ""), (2, ""), (7, d)]
+    out = [(x.doc_id, x.text) for x in ngram_join.stage(spark, frame(spark, rows), "").collect()]
+    left = [x for x in out if x[0] is None and x[1] and x[1].startswith(a)]
+    assert len(left) == 1
+    out.remove(left[0])
+    assert sorted(out, key=str) == sorted([(3, near(b)), (5, c), (None, ""), (None, None), (2, ""), (7, d)], key=str)
+    w = a.split()  # the middle set, which a null id alone holds, links the outer ones
+    far, middle = " ".join([*w, "x", "y", "z", "p", "q", "s"]), " ".join([*w, "x", "y", "z"])
+    chain = [(1, " ".join([*w[:-3], *w[-3:]][4:])), (None, " ".join(w)), (2, " ".join(w[: len(w) - 1] + w[-1:] + ["x", "y", "z", "p", "q"]))]
+    assert {x.component_id for x in ngram_join.grouped(spark.createDataFrame([*chain, (None, middle), (9, far)], SCHEMA), 5, 80, 100).collect()} == {1}
