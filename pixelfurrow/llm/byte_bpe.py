@@ -1,12 +1,15 @@
 """Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
-1. Texts are split into pre-tokens; each distinct one is counted, over all texts, and encoded exactly once.
-2. Texts are read again in blocks of bounded size. A document becomes its pre-tokens' numbers by position; the block's
-   distinct pre-tokens are exploded and joined with the encoded ones, and the ids come back to the block by its number.
-   The at most FREQUENT commonest pre-tokens (a fixed bound) are sent to all workers instead of being joined.
-3. Each block puts its documents together by position. Decoding joins the ids with the table of token bytes.
-
-A pre-token that is common to all texts is thus one row a block at most, and no task gathers more than a block.
+1. Texts are read once, in blocks of bounded size, and split into pre-tokens. A document becomes its pre-tokens' numbers by
+   position, which go to a file of the block; the block's distinct pre-tokens are rows (block, number, pre-token).
+2. These rows meet by pre-token, so that each distinct one of all texts is encoded exactly once, and its ids go back to the
+   blocks that hold it, by the pre-token's number there.
+3. Each block puts its documents together by position, and decodes their ids by the table of token bytes, whose size is the
+   vocabulary's.
+
+A pre-token that is common to all texts is thus one row a block at most, and no task gathers more than a block. Block
+files have a name of the task attempt's own, and only those in the written table of blocks are read, so lost executors and
+repeated attempts leave no trace in results. Texts of blocks are told apart by that name alone, whatever they hold.
 Defined results: null is as the empty text, with 0 tokens. Repeated rows and repeated doc_ids each give a row of their
 own. Only doc_id and text are read. A text longer than a block is a block of its own.
 """
@@ -15,11 +18,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import public_tokenizers
 import regex
 import tiktoken
@@ -28,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelfurrow.llm.common import blocks, by_value, kept, release, written
+from pixelfurrow.llm.common import by_value, fresh_path, kept, release, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-FREQUENT, BLOCK, MEMO = 1 << 18, 6 << 20, 300_000
+BLOCK, MEMO = 16 << 20, 300_000
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -39,216 +43,168 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 class Splitter:
-    """Pre-tokens of texts. A chunk from one space up to the next splits by itself, so chunks are remembered; texts with
-    white space runs go through the pattern whole."""
+    """Pre-tokens of texts. A chunk from one space up to the next splits by itself, so distinct chunks are split once; texts
+    with white space runs go through the pattern whole. Keys are chunks with a space before them, or (text,) for stretches
+    at a text's beginning."""
 
     def __init__(self, pattern: str):
-        # tiktoken's \\s is Unicode's White_Space, which Python's isn't
+        # tiktoken's \s is Unicode's White_Space, which Python's isn't
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.runs = regex.compile(r"\p{White_Space}\p{White_Space}|^\p{White_Space}").search
+        self.odd = re.compile("[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search  # white space but " "
         self.memo: dict[str, tuple[str, ...]] = {}
 
-    def chunks(self, text: str) -> list[str] | None:
-        """Chunks with the space before them, but for the first; None if the text has to be split whole."""
-        if self.runs(text):
-            return None
-        return text.split(" ")
-
-    def of(self, chunk: str, first: bool) -> tuple[str, ...]:
-        if first:
-            return tuple(self.find(chunk))
-        word = chunk.rstrip(".,;:!?|$%&*#")
+    def keys(self, text: str) -> list:
+        if "  " in text or text[0] == " " or (self.odd(text) and self.runs(text)):
+            return [(text,)]
+        parts = text.split(" ")
+        parts[0] = (parts[0],)
+        return parts
+
+    def of(self, key) -> tuple[str, ...]:
+        if type(key) is tuple:
+            return tuple(self.find(key[0]))
+        word = key.rstrip(".,;:!?|$%&*#")
         if word.isalpha():  # letters, then marks: the pattern parts them there
-            return (" " + word,) if len(word) == len(chunk) else (" " + word, chunk[len(word) :])
-        found = self.memo.get(chunk)
+            return (" " + word,) if len(word) == len(key) else (" " + word, key[len(word) :])
+        found = self.memo.get(key)
         if found is None:
-            found = tuple(self.find(" " + chunk))
+            found = tuple(self.find(" " + key))
             if len(self.memo) < MEMO:
-                self.memo[chunk] = found
+                self.memo[key] = found
         return found
 
 
-def splitter(pattern: str) -> Splitter:
-    return kept(("splitter", pattern), lambda: Splitter(pattern))
+def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The stretches of values, which have those sizes one after the other, in the order at."""
+    n = sizes[at]
+    first = (np.cumsum(sizes) - sizes)[at]
+    ends = np.cumsum(n)
+    return values[np.repeat(first - (ends - n), n) + np.arange(n.sum())]
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as compressed planes of their bytes."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def block_of(split: Splitter, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pre-tokens of texts, the commonest first after an empty one; the numbers of all texts' pre-tokens; how many each text has."""
+    numbers, parts = Numbers(), []
+    for text in texts:
+        keys = split.keys(text) if text else []
+        parts.append(np.fromiter(map(numbers.__getitem__, keys), np.int64, len(keys)))
+    own, flat, sizes = Numbers({"": 0}), [], np.zeros(len(numbers), np.int64)
+    for k, key in enumerate(numbers):
+        found = split.of(key)
+        sizes[k] = len(found)
+        flat.extend(map(own.__getitem__, found))
+    at = np.concatenate([*parts, np.zeros(0, np.int64)])
+    seq = gathered(np.array(flat, np.int64), sizes, at)
+    order = np.argsort(-np.bincount(seq, minlength=len(own))[1:], kind="stable") + 1  # low numbers for the commonest pack best
+    rank = np.zeros(len(own), np.int64)
+    rank[order] = np.arange(1, len(own))
+    words = [*own]
+    return ["", *map(words.__getitem__, order.tolist())], rank[seq], np.array([sizes[p].sum() for p in parts], np.int64)
+
+
+BLOCKS = T.StructType([T.StructField("block", T.LongType()), T.StructField("words", T.ArrayType(T.StringType()))])
 
 
-def count_pretokens(pattern: str):
-    def count(batches):
-        split, chunks, words = splitter(pattern), Counter(), Counter()
+def block_rows(folder: str, pattern: str):
+    """Writes a file of each block: its documents' ids and sizes, and their pre-tokens' numbers; rows are BLOCKS."""
+
+    def rows(batches):
+        split = kept(("splitter", pattern), lambda: Splitter(pattern))
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        held, size = [], 0
 
         def flush():
-            for chunk, n in chunks.items():
-                for w in split.of(chunk, False):
-                    words[w] += n
-            chunks.clear()
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
-            words.clear()
-            return out
+            name = uuid.uuid4().int >> 65
+            words, seq, sizes = block_of(split, [t for _, t in held])
+            table = pa.table({"doc_id": pa.array([d for d, _ in held], pa.int64()), "n": sizes, "seq": [packed(seq), *[None] * (len(held) - 1)]})
+            with store.open_output_stream(f"{root}/{name:016x}") as out, pa.ipc.new_stream(out, table.schema) as to:
+                to.write_table(table)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([words], pa.list_(pa.string()))], BLOCKS.names)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                parts = split.chunks(text) if text else []
-                if parts is None:
-                    words.update(split.find(text))
-                elif parts:
-                    words.update(split.of(parts[0], True))
-                    chunks.update(parts[1:])
-                if len(chunks) + len(words) > 1_000_000:
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new = len(row[1] or "")
+                if held and size + new > BLOCK:
                     yield flush()
-        yield flush()
+                    size = 0
+                held.append(row)
+                size += new
+        if held:
+            yield flush()
 
-    return count
+    return rows
 
 
 def encode_words(vocabulary: str, pattern: str):
+    """Of rows (block, k, word) sorted by word: block, k, ids. A word is encoded where it comes first."""
+
     def encode(batches):
         core = kept(("bpe", vocabulary), lambda: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(vocabulary), special_tokens={}))._core_bpe
+        last, ids = "", b""
         for batch in batches:
-            ids = [np.array(core.encode_single_piece(w.encode()), np.uint32).tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["word", "n", "ids"])
+            out = []
+            for word in batch.column(2).to_pylist():
+                if word != last:
+                    last, ids = word, np.array(core.encode_single_piece(word.encode()), "<u4").tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "k", "ids"])
 
     return encode
 
 
-def dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """word, n, ids (unsigned 32-bit, little endian) of each distinct pre-token of all texts; written."""
-    words = docs.select("text").mapInArrow(count_pretokens(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    out = written(words.mapInArrow(encode_words(vocabulary, pattern), "word string, n long, ids binary"), "words")
-    release(docs.sparkSession)
-    return out
-
-
-def _frequent(words: DataFrame) -> dict[str, bytes]:
-    """The commonest pre-tokens: those over a power of two that at most FREQUENT exceed."""
-    levels = sorted(words.groupBy(F.floor(F.log2("n")).alias("level")).count().collect(), key=lambda r: -r[0])
-    total, least = 0, None
-    for r in levels:
-        total += r[1]
-        if total > FREQUENT:
-            break
-        least = r[0]
-    if least is None:
-        return {}
-    rows = words.where(F.floor(F.log2("n")) >= least).select("word", "ids", "n").collect()
-    return {r.word: bytes(r.ids) for r in sorted(rows, key=lambda r: -r.n)}  # low numbers for the commonest pack best
-
-
-def packed(seq: bytes, base: int, start: int) -> bytes:
-    """Unsigned 32-bit numbers as compressed planes of their bytes. The block numbers its rare pre-tokens as they come, so
-    one that is new there is packed as 0, and any other number as one more than it is; start counts those before this row."""
-    at = np.frombuffer(seq, np.uint32)
-    rare = np.flatnonzero(at >= base)
-    values = at[rare].astype(np.int64) - base
-    before = np.maximum.accumulate(np.concatenate([[start - 1], values]))[:-1]
-    at = at + np.uint32(1)
-    at[rare[values > before]] = 0
-    return zstandard.compress(at.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
-
-
-def unpacked(raw: bytes, base: int, start: int) -> list[int]:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8)
-    if not len(planes):
-        return []
-    at = planes.reshape(4, -1).T.copy().view(np.uint32).ravel() - np.uint32(1)
-    new = np.flatnonzero(at == np.uint32(0xFFFFFFFF))
-    at[new] = base + start + np.arange(len(new))
-    return at.tolist()
-
-
-class Frequent:
-    def __init__(self, words: dict[str, bytes]):
-        self.at = {w: k for k, w in enumerate(words)}
-        self.ids = list(words.values())
-
-
-def position_rows(shared, key, pattern: str, rare: bool):
-    """rare: the blocks' distinct pre-tokens that aren't frequent (block, k, word), k counting them as they come. Otherwise
-    the documents (block, doc_id, start, seq): seq holds numbers of frequent pre-tokens, or their count plus k, packed."""
-
-    def rows(batches):
-        split = splitter(pattern)
-        frequent = kept(("frequent", key), lambda: shared.value)
-        at, base = frequent.at, len(frequent.at)
-        for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts, BLOCK):
-                block = int.from_bytes(hashlib.blake2b(repr((docs[a:b], [len(t or "") for t in texts[a:b]])).encode() + (texts[a] or "")[:99].encode(), digest_size=8).digest(), "little", signed=True)
-                own: dict[str, int] = {}
-
-                if rare:
-                    chunks: dict[str, None] = {}
-                    for text in texts[a:b]:
-                        parts = split.chunks(text) if text else []
-                        words = split.find(text) if parts is None else split.of(parts[0], True) if parts else ()
-                        for w in words:
-                            if w not in at:
-                                own.setdefault(w, len(own))
-                        for c in dict.fromkeys(parts[1:] if parts else ()):
-                            if c not in chunks:
-                                chunks[c] = None
-                                for w in split.of(c, False):
-                                    if w not in at:
-                                        own.setdefault(w, len(own))
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(own, pa.string())], ["block", "k", "word"])
-                    continue
-
-                def number(words):
-                    return b"".join([(x if (x := at.get(w)) is not None else base + own.setdefault(w, len(own))).to_bytes(4, "little") for w in words])
-
-                known: dict[str, bytes] = {}
-                starts, seqs = [], []
-                for text in texts[a:b]:
-                    starts.append(len(own))
-                    parts = split.chunks(text) if text else []
-                    if parts is None:
-                        seqs.append(packed(number(split.find(text)), base, starts[-1]))
-                        continue
-                    head = number(split.of(parts[0], True)) if parts else b""
-                    rest = parts[1:]
-                    for c in dict.fromkeys(rest):
-                        if c not in known:
-                            known[c] = number(split.of(c, False))
-                    seqs.append(packed(head + b"".join(map(known.__getitem__, rest)), base, starts[-1]))
-                yield pa.RecordBatch.from_arrays([pa.array([block] * (b - a), pa.int64()), batch.column(0).slice(a, b - a), pa.array(starts, pa.int32()), pa.array(seqs, pa.binary())], ["block", "doc_id", "start", "seq"])
-
-    return rows
-
-
 OUT = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("ids", T.BinaryType()), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))])
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, ids: bool = True) -> DataFrame:
     """doc_id, ids (binary, unsigned 32-bit little endian; null if not asked for), n_tokens, ids_sha256 and decoded_sha256 of each row."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = dictionary(docs, vocabulary, pattern)
-    shared, key = spark.sparkContext.broadcast(Frequent(_frequent(words))), uuid.uuid4().hex
-    rare = docs.mapInArrow(position_rows(shared, key, pattern, True), "block long, k int, word string")
-    rare = rare.join(words.select("word", F.col("ids").alias("word_ids")), "word").select("block", "k", "word_ids")
-    seqs = docs.mapInArrow(position_rows(shared, key, pattern, False), "block long, doc_id long, start int, seq binary")
-
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+    spark, folder = docs.sparkSession, fresh_path(docs.sparkSession, "bpe-blocks")
+    table = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(block_rows(folder, pattern), BLOCKS), "bpe-words")
+    release(spark)
+    words = table.select("block", F.posexplode("words").alias("k", "word"))
+    back = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode_words(vocabulary, pattern), "block long, k int, ids binary")
+
+    def assemble(right: pa.Table) -> pa.Table:
         token = kept(("tokens", vocabulary), lambda: {i: b for b, i in ranks(vocabulary).items()})
-        tail = lambda rows: [",".join(map(str, np.frombuffer(r, np.uint32).tolist())) for r in rows]
-        common, common_text = kept(("texts", key), lambda: (shared.value.ids, tail(shared.value.ids)))
-        base = len(common)
-        own = [b""] * right.num_rows
-        for k, r in zip(right.column("k").to_pylist(), right.column("word_ids").to_pylist(), strict=True):
+        store, root = pafs.FileSystem.from_uri(folder)
+        with store.open_input_stream(f"{root}/{right.column('block')[0].as_py():016x}") as source:
+            left = pa.ipc.open_stream(source.read()).read_all()
+        own: list[bytes] = [b""] * right.num_rows
+        for k, r in zip(right.column("k").to_pylist(), right.column("ids").to_pylist(), strict=True):
             own[k] = r
-        own_text = tail(own)
-        out: list[list] = [[], [], [], [], []]
-        for doc, start, seq in zip(*(left.column(c).to_pylist() for c in ("doc_id", "start", "seq")), strict=True):
-            at = unpacked(seq, base, start)
-            raw = b"".join([common[i] if i < base else own[i - base] for i in at])
-            text = ",".join([common_text[i] if i < base else own_text[i - base] for i in at])
-            back = b"".join(map(token.__getitem__, np.frombuffer(raw, np.uint32).tolist()))
-            for column, x in zip(out, (doc, raw if ids else None, len(raw) // 4, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(back).hexdigest()), strict=True):
+        shown = ["".join([f"{i}," for i in np.frombuffer(r, "<u4").tolist()]) for r in own]
+        seq, at = unpacked(left.column("seq")[0].as_py()).tolist(), 0
+        out: list[list] = [[], [], [], []]
+        for n in left.column("n").to_pylist():
+            part, at = seq[at : at + n], at + n
+            raw = b"".join(map(own.__getitem__, part))
+            text = "".join(map(shown.__getitem__, part))[:-1]
+            back = b"".join(map(token.__getitem__, np.frombuffer(raw, "<u4").tolist()))
+            for column, x in zip(out, (raw if ids else None, len(raw) // 4, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(back).hexdigest()), strict=True):
                 column.append(x)
-        return pa.table([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()), strict=True)], OUT.names)
+        return pa.table([left.column("doc_id").combine_chunks(), *(pa.array(x, k) for x, k in zip(out, (pa.binary(), pa.int64(), pa.string(), pa.string()), strict=True))], OUT.names)
 
-    return seqs.groupBy("block").cogroup(rare.groupBy("block")).applyInArrow(assemble, OUT)
+    return back.groupBy("block").applyInArrow(assemble, OUT)
 
 
 def decoded(encodings: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
