@@ -1,15 +1,15 @@
 """Cross-entropy difference of n-gram models.
 
-Two bigram models, of the target texts and of all texts, share one vocabulary: all words of all texts. Both interpolate by
-absolute discounting: p(w|h) = max(c(hw) - D, 0) / c(h) + D * N(h) / c(h) * (c(w) + ADD * b(w)) / (c + ADD), where b is the
+Two bigram models, of the target texts and of all texts, share one vocabulary: all words of all texts. Both are smoothed by
+Dirichlet priors: p(w|h) = (c(hw) + MU * p(w)) / (c(h) + MU), p(w) = (c(w) + ADD * b(w)) / (c + ADD), where b is the
 words' share in all texts, so no word that occurs has probability 0 in either. A token's loss difference is
 log2 p_all - log2 p_target; a document's score is its mean, and lower means nearer to the target. Documents are in two
 halves by a hash of doc_id; both models of a half count the other half, so that no document is scored by its own counts.
 
-Counts of all texts: each block of texts counts its own bigrams, sums meet by a shuffle on the bigram, and words and
-histories are sums over bigrams. The loss difference of each distinct bigram is computed once, and comes back to the blocks
-that hold it. A very common bigram or word is a row a block at most, histories are joined with splittable joins, and
-no table of the corpus is collected or broadcast.
+Texts are read once, in blocks. A block counts its distinct words, histories and bigrams, and sends the counts, packed and
+sorted by 64-bit hashes, to buckets; a bucket adds up the counts of equal hashes of all blocks, and sends the sums back by
+order alone. A very common bigram or word is one key a block at most, each task gathers a bucket or a block,
+and no table of the corpus is collected or broadcast.
 
 Defined results: words are lower-cased ASCII letters, digits and bytes over 127. A text's first word follows the empty
 word. Null texts and texts without words score null, with 0 tokens. Without target texts all differences are those against
@@ -18,128 +18,153 @@ a target that is the words' share. Repeated rows get equal scores. Only doc_id a
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfurrow.llm.common import blocks, by_value, discard, release, written
+from pixelfurrow.llm.byte_bpe import Numbers
+from pixelfurrow.llm.common import by_value, fresh_path, release, written
+from pixelfurrow.llm.exchange import FILE, PARCELS, buckets_of, file_of, file_row, load_table, of_block, opened, parcels, planes, replies, store_table, unplaned
+from pixelfurrow.llm.ngram_join import ODD, mixed
 from pixelfurrow.llm.toxicity import words
 
-DISCOUNT, ADD, BLOCK, SMALL = 0.75, 1000.0, 16 << 20, 500_000
+MU, ADD, BLOCK, SMALL = 500.0, 1000.0, 16 << 20, 500_000
+WORDS, BIGRAMS = 1, 2
 COUNTS = ["n0", "n1", "t0", "t1"]
 
 
-def _pairs(text: str | None, memo: dict[bytes, int]) -> np.ndarray:
-    """(history, word) hashes of a text's tokens, one row each."""
-    found = words(text)
-    if len(memo) > 400_000:
-        memo.clear()
-    for w in set(found):
-        if w not in memo:
-            memo[w] = xxhash.xxh3_64_intdigest(w) >> 1
-    h = np.fromiter(map(memo.__getitem__, found), np.int64, len(found)) if found else np.zeros(0, np.int64)
-    return np.stack([np.concatenate([[0], h[:-1]]) if len(h) else h, h], 1)
+def _half(doc) -> int:
+    return zlib.crc32(str(doc).encode()) >> 7 & 1
 
 
-def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs, and each pair's number among them."""
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    p = pairs[order]
-    new = np.concatenate([[True], (p[1:] != p[:-1]).any(1)]) if len(p) else np.zeros(0, bool)
-    number = np.empty(len(p), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return p[new], number
+def numbered(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts' distinct words, after the empty one: hashes, the commonest first; the numbers of all words; how many each text has."""
+    numbers = Numbers({b"": 0})
+    parts = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in map(words, texts)]
+    seq = np.concatenate([*parts, np.zeros(0, np.int64)])
+    order = np.concatenate([[0], np.argsort(-np.bincount(seq, minlength=len(numbers))[1:], kind="stable") + 1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))[order]
+    return hashes, rank[seq], np.array([len(p) for p in parts], np.int64)
 
 
-def block_rows(per_block: bool):
-    """Of each block's distinct bigrams: h, w, and either COUNTS or block and k. Columns: doc_id, text, target."""
+def histories(seq: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The number of the word before each; 0, the empty word's, at texts' beginnings."""
+    out = np.concatenate([[0], seq[:-1]]) if len(seq) else seq.copy()
+    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    return out
 
-    def rows(batches):
-        memo = {}
-        for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts, BLOCK):
-                parts = [_pairs(t, memo) for t in texts[a:b]]
-                distinct, number = _distinct(np.concatenate(parts))
-                if per_block:
-                    name = _block(docs[a:b], texts[a:b])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), name)), pa.array(np.arange(len(distinct), dtype=np.int32)), pa.array(distinct[:, 0].copy()), pa.array(distinct[:, 1].copy())], ["block", "k", "h", "w"])
-                else:
-                    target = np.repeat([bool(x) for x in batch.column(2).to_pylist()[a:b]], [len(p) for p in parts])
-                    half = np.repeat([_half(d) for d in docs[a:b]], [len(p) for p in parts])
-                    n = [np.bincount(number, x, len(distinct)).astype(np.int64) for x in (half, 1 - half, half * target, (1 - half) * target)]  # each half has the other's counts
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (distinct[:, 0].copy(), distinct[:, 1].copy(), *n)], ["h", "w", *COUNTS])
 
-    return rows
+def bigrams(hashes: np.ndarray, seq: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes, histories and words of the distinct bigrams, and each token's number among them."""
+    codes, number = np.unique(before * len(hashes) + seq, return_inverse=True)
+    h, w = np.divmod(codes, len(hashes))
+    keys = mixed(mixed(hashes[h] + ODD[0]) * ODD[1] + hashes[w])
+    order = np.argsort(keys, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return keys[order], h[order], w[order], rank[number]
 
 
-def _half(doc) -> int:
-    return zlib.crc32(str(doc).encode()) >> 7 & 1
+def counted(at: np.ndarray, n: int, kinds: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.bincount(at[k], minlength=n) for k in kinds]).astype(np.uint32)
 
 
-def _block(docs, texts) -> int:
-    return int.from_bytes(hashlib.blake2b(repr((docs, [len(t or "") for t in texts])).encode() + (texts[0] or "")[:99].encode(), digest_size=8).digest(), "little", signed=True)
+def block_rows(folder: str, buckets: int):
+    """Of each block its file, the counts of its words and histories, and those of its bigrams. Columns: doc_id, text, target."""
 
+    def rows(batches):
+        held, size, seq_no = [], 0, 0
+        part = TaskContext.get().partitionId() << 32
+
+        def flush():
+            hashes, seq, sizes = numbered([t for _, t, _ in held])
+            half = np.repeat(np.array([_half(d) for d, _, _ in held], bool), sizes)
+            target = np.repeat(np.array([bool(t) for _, _, t in held]), sizes)
+            kinds = [half, ~half, half & target, ~half & target]  # each half has the other's counts
+            before = histories(seq, sizes)
+            order = np.argsort(hashes, kind="stable")
+            counts = np.concatenate([counted(x, len(hashes), kinds) for x in (seq, before)])
+            block = part | seq_no
+            ids = pa.array([[d for d, _, _ in held]], pa.list_(pa.int64()))
+            name = store_table(folder, pa.table({"doc_id": ids, "n": [sizes], "seq": [planes(seq.astype(np.uint32))], "hashes": [planes(hashes)]}))
+            held.clear()
+            yield file_row(block, name, planes(np.array([k.sum() for k in kinds], np.int64)))
+            yield parcels(WORDS, block, hashes[order], counts[:, order], buckets)
+            keys, _, _, number = bigrams(hashes, seq, before)
+            yield parcels(BIGRAMS, block, keys, counted(number, len(keys), kinds), buckets)
 
-def document_rows(batches):
-    """block, doc_id, and the numbers of its bigrams among the block's."""
-    memo = {}
-    for batch in batches:
-        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in blocks(texts, BLOCK):
-            parts = [_pairs(t, memo) for t in texts[a:b]]
-            _, number = _distinct(np.concatenate(parts))
-            cuts = np.cumsum([len(p) for p in parts])[:-1]
-            seqs = [x.astype(np.uint32).tobytes() for x in np.split(number, cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array([_block(docs[a:b], texts[a:b])] * (b - a), pa.int64()), batch.column(0).slice(a, b - a), pa.array(seqs, pa.binary())], ["block", "doc_id", "seq"])
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = len(row[1] or "")
+                if held and size + new > BLOCK:
+                    yield from flush()
+                    size, seq_no = 0, seq_no + 1
+                held.append(row)
+                size += new
+        if held:
+            yield from flush()
 
+    return rows
 
-def losses(counts: DataFrame) -> DataFrame:
-    """(h, w, diff0, diff1) of each distinct bigram: by the models of either half; counts: h, w, COUNTS."""
-    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS)).first()
-    word = counts.groupBy("w").agg(*(F.sum(c).alias(f"w{c}") for c in COUNTS))
-    history = counts.groupBy("h").agg(*(F.sum(c).alias(f"h{c}") for c in COUNTS), *(F.count_if(F.col(c) > 0).alias(f"k{c}") for c in COUNTS))
-    share = (F.col("wn0") + F.col("wn1")) / F.lit(float(total.n0 + total.n1 or 1))
 
-    def p(c):
-        one = (F.col(f"w{c}") + ADD * share) / F.lit(float(total[c]) + ADD)
-        of_h = F.col(f"h{c}")
-        return F.when(of_h > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / of_h + DISCOUNT * F.col(f"k{c}") / of_h * one).otherwise(one)
+def add_up(rows: pa.Table) -> pa.Table:
+    """The sums of equal keys' counts, for each key that came."""
+    if rows.column("kind")[0].as_py() == FILE:
+        return rows.select(["kind", "bucket", "block", "keys", "vals"])
+    keys, vals, cuts, _ = opened(rows, np.uint32)
+    distinct, at = np.unique(keys, return_inverse=True)
+    del keys
+    sums = np.stack([np.bincount(at, np.concatenate([v[k] for v in vals]), len(distinct)).astype(np.int64) for k in range(len(vals[0]))])
+    return replies(rows, [planes(sums[:, at[a:b]]) for a, b in cuts])
 
-    rows = counts.join(history, "h").join(word, "w")
-    return rows.select("h", "w", *((F.log2(p(f"n{k}")) - F.log2(p(f"t{k}"))).cast("float").alias(f"diff{k}") for k in (0, 1)))
+
+def tallied(batches):
+    """The sums of blocks' totals, a row a batch."""
+    for batch in batches:
+        sums = np.sum([unplaned(v, np.int64) for v in batch.column(0).to_pylist()] + [np.zeros(4, np.int64)], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in sums], COUNTS)
 
 
 def scored(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, score of each row; docs: doc_id, text, read the same way each time; target: its doc_ids."""
-    spark = docs.sparkSession
+    """doc_id, n_tokens, score of each row; docs: doc_id, text; target: its doc_ids."""
+    spark, folder = docs.sparkSession, fresh_path(docs.sparkSession, "lm-blocks")
     target = target.select("doc_id").distinct().withColumn("target", F.lit(True))
     target = F.broadcast(target) if target.count() <= SMALL else target  # beyond that the join shuffles the texts
     marked = docs.join(target, "doc_id", "left").select("doc_id", "text", "target")
-    counts = marked.mapInArrow(block_rows(False), "h long, w long, n0 long, n1 long, t0 long, t1 long").groupBy("h", "w").agg(*(F.sum(c).alias(c) for c in COUNTS))
-    counts = written(counts, "bigrams")
-    release(spark)
-    bits = written(losses(counts), "losses")  # so that its joins' shuffles go before the next ones are made
-    discard(counts)
+    sent = marked.mapInArrow(block_rows(folder, buckets_of(docs)), PARCELS)
+    table = written(sent.groupBy("kind", "bucket").applyInArrow(add_up, PARCELS), "lm-sums")
     release(spark)
-    own = docs.select("doc_id", "text").mapInArrow(block_rows(True), "block long, k int, h long, w long")
-    back = own.join(bits, ["h", "w"]).select("block", "k", "diff0", "diff1")
-    seqs = docs.select("doc_id", "text").mapInArrow(document_rows, "block long, doc_id long, seq binary")
-
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        diff = np.zeros((2, right.num_rows))
-        for k in (0, 1):
-            diff[k, right.column("k").to_numpy()] = right.column(f"diff{k}").to_numpy()
-        docs, at = left.column("doc_id"), [np.frombuffer(x, np.uint32) for x in left.column("seq").to_pylist()]
-        means = [float(diff[_half(d)][x].mean()) if len(x) else None for d, x in zip(docs.to_pylist(), at, strict=True)]
-        return pa.table([docs, pa.array([len(x) for x in at], pa.int64()), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "score"])
-
-    return seqs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens long, score double")
+    totals = table.where(F.col("kind") == FILE).select("vals").mapInArrow(tallied, ", ".join(f"{c} long" for c in COUNTS))
+    totals = [float(x) for x in totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in COUNTS)).first()]
+
+    def assemble(rows: pa.Table) -> pa.Table:
+        own = load_table(folder, file_of(rows))
+        seq, hashes = unplaned(own.column("seq")[0].as_py(), np.uint32).astype(np.int64), unplaned(own.column("hashes")[0].as_py(), np.uint64)
+        sizes = own.column("n")[0].values.to_numpy()
+        order, sums = np.argsort(hashes, kind="stable"), np.empty((8, len(hashes)))
+        sums[:, order] = of_block(rows, WORDS, np.int64, 8)
+        before = histories(seq, sizes)
+        _, h, w, number = bigrams(hashes, seq, before)
+        c = of_block(rows, BIGRAMS, np.int64, 4)
+        share = (sums[0] + sums[1]) / max(1.0, totals[0] + totals[1])
+        log = [np.log2((c[k] + MU * ((sums[k] + ADD * share) / (totals[k] + ADD))[w]) / (sums[4 + k][h] + MU)) for k in range(4)]
+        ids = own.column("doc_id")[0].values
+        half = np.repeat(np.array([_half(d) for d in ids.to_pylist()], bool), sizes)
+        diff = np.where(half, (log[1] - log[3])[number], (log[0] - log[2])[number])
+        some = sizes > 0
+        means = np.full(len(sizes), np.nan)
+        if some.any():
+            means[some] = np.add.reduceat(diff, (np.cumsum(sizes) - sizes)[some]) / sizes[some]
+        return pa.table([ids, pa.array(sizes), pa.array(means, mask=~some)], ["doc_id", "n_tokens", "score"])
+
+    return table.groupBy("block").applyInArrow(assemble, "doc_id long, n_tokens long, score double")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

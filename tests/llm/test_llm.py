@@ -325,8 +325,7 @@ def test_lm_score_matches_plain_models(spark):
             for x, n in c.items():
                 uni[x[1]] += n
             one = (uni[w] + lm_score.ADD * base[w] / total) / (sum(c.values()) + lm_score.ADD)
-            n = sum(of_h.values())
-            return max(c[h, w] - 0.75, 0) / n + 0.75 * len(of_h) / n * one if n else one
+            return (c[h, w] + lm_score.MU * one) / (sum(of_h.values()) + lm_score.MU)
 
         if g:
             expected = np.mean([np.log2(p(h, w, lambda j: True)) - np.log2(p(h, w, target.__contains__)) for h, w in g])
