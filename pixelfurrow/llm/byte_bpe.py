@@ -1,15 +1,14 @@
 """Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
 1. Texts are read once, in blocks of bounded size, and split into pre-tokens. A document becomes its pre-tokens' numbers by
-   position, which go to a file of the block; the block's distinct pre-tokens are rows (block, number, pre-token).
-2. These rows meet by pre-token, so that each distinct one of all texts is encoded exactly once, and its ids go back to the
-   blocks that hold it, by the pre-token's number there.
+   position, which go to a file of the block; the block's distinct pre-tokens go, by hash, to buckets.
+2. In a bucket equal pre-tokens of all blocks meet, so that each distinct one of all texts is encoded exactly once; its ids
+   go back to the blocks that hold it, by the pre-token's number there.
 3. Each block puts its documents together by position, and decodes their ids by the table of token bytes, whose size is the
    vocabulary's.
 
-A pre-token that is common to all texts is thus one row a block at most, and no task gathers more than a block. Block
-files have a name of the task attempt's own, and only those in the written table of blocks are read, so lost executors and
-repeated attempts leave no trace in results. Texts of blocks are told apart by that name alone, whatever they hold.
+A pre-token that is common to all texts is thus sent once a block at most, and no task gathers more than a block or a
+bucket. Blocks are told apart by their place in the input, whatever they hold; see exchange.py for lost executors.
 Defined results: null is as the empty text, with 0 tokens. Repeated rows and repeated doc_ids each give a row of their
 own. Only doc_id and text are read. A text longer than a block is a block of its own.
 """
@@ -19,23 +18,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
+import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import public_tokenizers
 import regex
 import tiktoken
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelfurrow.llm.common import by_value, fresh_path, kept, release, written
+from pixelfurrow.llm.common import by_value, fresh_path, kept
+from pixelfurrow.llm.exchange import FILE, NAMES, PARCELS, buckets_of, file_of, file_row, load_table, packed_keys, planes, store_table, unpacked_keys, unplaned
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-BLOCK, MEMO = 16 << 20, 300_000
+BLOCK, MEMO, WORDS = 16 << 20, 300_000, 1
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -92,15 +93,6 @@ def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarra
     return values[np.repeat(first - (ends - n), n) + np.arange(n.sum())]
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers as compressed planes of their bytes."""
-    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-
-
 def block_of(split: Splitter, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct pre-tokens of texts, the commonest first after an empty one; the numbers of all texts' pre-tokens; how many each text has."""
     numbers, parts = Numbers(), []
@@ -121,54 +113,77 @@ def block_of(split: Splitter, texts: list[str | None]) -> tuple[list[str], np.nd
     return ["", *map(words.__getitem__, order.tolist())], rank[seq], np.array([sizes[p].sum() for p in parts], np.int64)
 
 
-BLOCKS = T.StructType([T.StructField("block", T.LongType()), T.StructField("words", T.ArrayType(T.StringType()))])
+def packed_words(words: list[bytes]) -> bytes:
+    sizes = planes(np.fromiter(map(len, words), np.uint32, len(words)))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.compress(b"".join(words), 1)
+
+
+def unpacked_words(raw: bytes) -> list[bytes]:
+    cut = 4 + int.from_bytes(raw[:4], "little")
+    ends, data = np.cumsum(unplaned(raw[4:cut], np.uint32), dtype=np.int64).tolist(), zstandard.decompress(raw[cut:])
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def block_rows(folder: str, pattern: str):
-    """Writes a file of each block: its documents' ids and sizes, and their pre-tokens' numbers; rows are BLOCKS."""
+def block_rows(folder: str, pattern: str, buckets: int):
+    """Writes a file of each block: its documents' ids and sizes, and their pre-tokens' numbers; rows are PARCELS."""
 
     def rows(batches):
         split = kept(("splitter", pattern), lambda: Splitter(pattern))
-        store, root = pafs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        held, size = [], 0
+        held, size, block = [], 0, TaskContext.get().partitionId() << 32
 
         def flush():
-            name = uuid.uuid4().int >> 65
             words, seq, sizes = block_of(split, [t for _, t in held])
-            table = pa.table({"doc_id": pa.array([d for d, _ in held], pa.int64()), "n": sizes, "seq": [packed(seq), *[None] * (len(held) - 1)]})
-            with store.open_output_stream(f"{root}/{name:016x}") as out, pa.ipc.new_stream(out, table.schema) as to:
-                to.write_table(table)
+            name = store_table(folder, pa.table({"doc_id": pa.array([[d for d, _ in held]], pa.list_(pa.int64())), "n": [sizes], "seq": [planes(seq.astype(np.uint32))]}))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([words], pa.list_(pa.string()))], BLOCKS.names)
+            yield file_row(block, name)
+            raw = [w.encode() for w in words]
+            at = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) * buckets >> 32
+            order = np.argsort(at, kind="stable")
+            cuts = np.flatnonzero(np.diff(at[order], prepend=-1, append=buckets)).tolist()
+            parts = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            keys = [packed_keys(p.astype(np.uint64)) for p in parts]
+            vals = [packed_words([raw[k] for k in p.tolist()]) for p in parts]
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([WORDS] * n, pa.int32()), pa.array([int(at[p[0]]) for p in parts], pa.int32()), pa.array([block] * n, pa.int64()), pa.array(keys, pa.binary()), pa.array(vals, pa.binary())], NAMES)
 
         for batch in batches:
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 new = len(row[1] or "")
                 if held and size + new > BLOCK:
-                    yield flush()
-                    size = 0
+                    yield from flush()
+                    size, block = 0, block + 1
                 held.append(row)
                 size += new
         if held:
-            yield flush()
+            yield from flush()
 
     return rows
 
 
+class Codes(dict):
+    """The ids of words, each encoded when it is first asked for."""
+
+    def __init__(self, core):
+        self.core = core
+
+    def __missing__(self, word):
+        ids = self[word] = array("I", self.core.encode_single_piece(word) if word else ()).tobytes()
+        return ids
+
+
 def encode_words(vocabulary: str, pattern: str):
-    """Of rows (block, k, word) sorted by word: block, k, ids. A word is encoded where it comes first."""
+    """Of a bucket's rows: the ids of each row's words, by the words' numbers."""
 
-    def encode(batches):
+    def encode(rows: pa.Table) -> pa.Table:
+        if rows.column("kind")[0].as_py() == FILE:
+            return rows.select(NAMES)
         core = kept(("bpe", vocabulary), lambda: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(vocabulary), special_tokens={}))._core_bpe
-        last, ids = "", b""
-        for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(core.encode_single_piece(word.encode()), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "k", "ids"])
+        codes, answers = Codes(core), []
+        for raw in rows.column("vals").to_pylist():
+            ids = [*map(codes.__getitem__, unpacked_words(raw))]
+            sizes = planes(np.fromiter(map(len, ids), np.uint32, len(ids)))
+            answers.append(len(sizes).to_bytes(4, "little") + sizes + planes(np.frombuffer(b"".join(ids), "<u4")))
+        return pa.table([*(rows.column(c) for c in NAMES[:4]), pa.array(answers, pa.binary())], NAMES)
 
     return encode
 
@@ -178,31 +193,29 @@ OUT = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), (
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, ids: bool = True) -> DataFrame:
     """doc_id, ids (binary, unsigned 32-bit little endian; null if not asked for), n_tokens, ids_sha256 and decoded_sha256 of each row."""
-    spark, folder = docs.sparkSession, fresh_path(docs.sparkSession, "bpe-blocks")
-    table = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(block_rows(folder, pattern), BLOCKS), "bpe-words")
-    release(spark)
-    words = table.select("block", F.posexplode("words").alias("k", "word"))
-    back = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode_words(vocabulary, pattern), "block long, k int, ids binary")
+    folder = fresh_path(docs.sparkSession, "bpe-blocks")
+    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(block_rows(folder, pattern, buckets_of(docs)), PARCELS)
+    back = sent.groupBy("kind", "bucket").applyInArrow(encode_words(vocabulary, pattern), PARCELS)
 
     def assemble(right: pa.Table) -> pa.Table:
         token = kept(("tokens", vocabulary), lambda: {i: b for b, i in ranks(vocabulary).items()})
-        store, root = pafs.FileSystem.from_uri(folder)
-        with store.open_input_stream(f"{root}/{right.column('block')[0].as_py():016x}") as source:
-            left = pa.ipc.open_stream(source.read()).read_all()
-        own: list[bytes] = [b""] * right.num_rows
-        for k, r in zip(right.column("k").to_pylist(), right.column("ids").to_pylist(), strict=True):
-            own[k] = r
-        shown = ["".join([f"{i}," for i in np.frombuffer(r, "<u4").tolist()]) for r in own]
-        seq, at = unpacked(left.column("seq")[0].as_py()).tolist(), 0
+        left, own, shown = load_table(folder, file_of(right)), {}, {}
+        for kind, keys, raw in zip(*(right.column(c).to_pylist() for c in ("kind", "keys", "vals")), strict=True):
+            if kind == WORDS:
+                cut = 4 + int.from_bytes(raw[:4], "little")
+                ends, data = np.cumsum(unplaned(raw[4:cut], np.uint32), dtype=np.int64).tolist(), unplaned(raw[cut:], "<u4").tobytes()
+                own.update(zip(unpacked_keys(keys).tolist(), [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        shown = {k: "".join([f"{i}," for i in np.frombuffer(r, "<u4").tolist()]) for k, r in own.items()}
+        seq, at = unplaned(left.column("seq")[0].as_py(), np.uint32), 0
         out: list[list] = [[], [], [], []]
-        for n in left.column("n").to_pylist():
-            part, at = seq[at : at + n], at + n
+        for n in left.column("n")[0].as_py():
+            part, at = seq[at : at + n].tolist(), at + n
             raw = b"".join(map(own.__getitem__, part))
             text = "".join(map(shown.__getitem__, part))[:-1]
             back = b"".join(map(token.__getitem__, np.frombuffer(raw, "<u4").tolist()))
             for column, x in zip(out, (raw if ids else None, len(raw) // 4, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(back).hexdigest()), strict=True):
                 column.append(x)
-        return pa.table([left.column("doc_id").combine_chunks(), *(pa.array(x, k) for x, k in zip(out, (pa.binary(), pa.int64(), pa.string(), pa.string()), strict=True))], OUT.names)
+        return pa.table([left.column("doc_id")[0].values, *(pa.array(x, k) for x, k in zip(out, (pa.binary(), pa.int64(), pa.string(), pa.string()), strict=True))], OUT.names)
 
     return back.groupBy("block").applyInArrow(assemble, OUT)
 

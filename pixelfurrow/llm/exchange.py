@@ -81,7 +81,7 @@ def opened(rows: pa.Table, kind) -> tuple[np.ndarray, list[np.ndarray], list[tup
 
 
 def replies(rows: pa.Table, answers: list[bytes]) -> pa.Table:
-    return pa.table([rows.column("kind"), rows.column("bucket"), rows.column("block"), rows.column("keys").combine_chunks().slice(0, 0) if not len(answers) else pa.array([b""] * len(answers), pa.binary()), pa.array(answers, pa.binary())], NAMES)
+    return pa.table([*(rows.column(c) for c in NAMES[:3]), pa.array([b""] * len(answers), pa.binary()), pa.array(answers, pa.binary())], NAMES)
 
 
 def store_table(folder: str, table: pa.Table) -> str:
