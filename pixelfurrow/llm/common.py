@@ -51,6 +51,11 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0)).cast("int")

@@ -68,7 +68,7 @@ def parcels(kind: int, block: int, keys: np.ndarray, vals: np.ndarray, buckets:
 
 
 def file_row(block: int, name: str, vals: bytes = b"") -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([FILE], pa.int32()), pa.array([block & 0x7FFFFFFF], pa.int32()), pa.array([block], pa.int64()), pa.array([name.encode()], pa.binary()), pa.array([vals], pa.binary())], NAMES)
+    return pa.RecordBatch.from_arrays([pa.array([FILE], pa.int32()), pa.array([-1 - (block & 0x3FFFFFFF)], pa.int32()), pa.array([block], pa.int64()), pa.array([name.encode()], pa.binary()), pa.array([vals], pa.binary())], NAMES)
 
 
 def opened(rows: pa.Table, kind) -> tuple[np.ndarray, list[np.ndarray], list[tuple[int, int]], np.ndarray]:
@@ -100,6 +100,11 @@ def load_table(folder: str, name: str) -> pa.Table:
         return pa.ipc.open_stream(source.read()).read_all()
 
 
+def in_order(rows: pa.Table) -> pa.Table:
+    """rows by block and kind."""
+    return rows.sort_by([("block", "ascending"), ("kind", "ascending")])
+
+
 def of_block(rows: pa.Table, kind: int, type_, columns: int) -> np.ndarray:
     """A block's answers of a kind, in the order of its keys."""
     own = [(b, v) for k, b, v in zip(*(rows.column(c).to_pylist() for c in ("kind", "bucket", "vals")), strict=True) if k == kind]

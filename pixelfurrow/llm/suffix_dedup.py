@@ -2,21 +2,21 @@
 
 Suffixes are told apart through `width` bytes only. A window's most significant digit is its anchor: the GRAM-byte string
 in it with the least hash (the leftmost of equals), which equal windows have in common, at the same place. Windows that
-follow each other mostly share an anchor, so one row stands for a run of them:
+follow each other mostly share an anchor, so one row stands for a run of them, and the passes go over rows:
 
-1. Rows go to their anchor's bucket. In a bucket the next digit is the run's whole content. Of runs with equal content all
-   but the earliest are repeated, window by window. Buckets with one content are done.
-2. In the other buckets each content's earliest run is parted into its windows, whose digits now are all of their bytes.
-   Equal groups are exactly the repeated windows; all but the earliest of a group are repeated.
+1. Texts in the order of documents are cut into blocks, which are numbered and written. In a first pass rows meet by their
+   anchor, which tells the anchors that have runs of more than one content, and by the run's whole content, which tells
+   the runs that are wholly repeated: all but the earliest of equal content. Other anchors are done.
+2. In the second pass the runs under those anchors that aren't repeated are parted into windows, whose digits now are all
+   of their bytes. Equal groups are exactly the repeated windows; all but the earliest of a group are repeated.
 
-Rows with equal digits inside one block of texts are combined before the shuffle, so that a passage or a text that many
-documents share is a row a block at most. Digits are compared as two 64-bit hashes.
+Digits are compared as 64-bit hashes and 32 bits of another. A block sends each digit once, packed (see exchange.py), so a
+passage or a text that many documents share, and an anchor with many contents, are a row a block at most; what is earliest
+follows from the blocks' order, and answers come back by order alone.
 
-Defined results: null is as the empty text. Texts shorter than a window stay whole. A null doc_id comes before all others.
-Rows that repeat a doc_id have to repeat its text; they are one document then, and each gets its result. Rows with a null
-doc_id are documents by their texts (in the order of `own`, a hash of the text, which is 0 where there is an id): equal
-texts are one document, others never share a result. Texts of any length are read in segments. Only doc_id and text are
-read.
+Defined results: null is as the empty text. Texts shorter than a window stay whole. Null doc_ids come before all others.
+Rows of the same doc_id and text are one document, and each gets its result; where a doc_id or null has several texts,
+each is a document, in the order of a hash. Texts of any length are read in pieces. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,16 +25,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pixelfurrow.llm.common import by_value, release, written
+from pixelfurrow.llm.common import by_value, column, fresh_path, release, written
+from pixelfurrow.llm.exchange import FILE, NAMES, PARCELS, buckets_of, file_of, file_row, in_order, load_table, of_block, opened, parcels, planes, replies, store_table, unplaned
 from pixelfurrow.llm.ngram_join import mixed
 
-WIDTH, GRAM, BLOCK, SEGMENT, PART = 100, 32, 16 << 20, 8 << 20, 1 << 18
+WIDTH, GRAM, BLOCK, PIECE, PART, WINDOWS_AT_ONCE = 100, 32, 16 << 20, 1 << 20, 1 << 18, 1 << 20
+RUNS, ANCHORS, WINDOWS = 1, 2, 3
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-LEAST_ID = -(1 << 63)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -101,158 +105,277 @@ def windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int)
     return segment, place, np.ones(len(segment), np.int64), Contents(grams).of(at, span), Contents(mixed(grams ^ BASE)).of(at, span)
 
 
-def rows_of(segments: list[tuple[int, int, bytes]], width: int, look) -> pa.RecordBatch:
-    """segments: (doc, own, place of its first byte, bytes). Rows with equal digits after the earliest, other than the same
-    document's at the same place, are marked dup; their digits no longer matter and are dealt evenly."""
-    parts, k = [], 0
-    while k < len(segments):
-        own, size = [], 0
-        while k < len(segments) and (not own or size < PART):
-            own.append(segments[k])
-            size += len(segments[k][3])
-            k += 1
-        data = np.frombuffer(b"".join(s[3] for s in own), np.uint8)
-        if len(data) < width:
-            continue
-        sizes = np.array([len(s[3]) for s in own])
-        found = look(data, np.cumsum(sizes) - sizes, sizes, width)
-        if found is not None:
-            segment, place, n, a, b = found
-            doc, mark, first = (np.array([s[j] for s in own], np.int64)[segment] for j in range(3))
-            parts.append((doc, mark, place + first, n, a, b))
-    if not parts:
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 6 + [pa.array([], pa.bool_())], NAMES)
-    doc, mark, at, n, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((at, mark, doc, b, a))
-    doc, mark, at, n, a, b = doc[order], mark[order], at[order], n[order], a[order], b[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))  # of the rows with equal digits
-    dup = (doc != doc[first]) | (mark != mark[first]) | (at != at[first])
-    a = np.where(dup, mixed(doc.view(np.uint64) * BASE + at.astype(np.uint64)), a)
-    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (a.view(np.int64), b.view(np.int64), doc, mark, at.astype(np.int64), n.astype(np.int64))), pa.array(dup)], NAMES)
-
-
-NAMES = ["a", "b", "doc", "own", "at", "n", "dup"]
-ROWS = "a long, b long, doc long, own long, at long, n long, dup boolean"
-
-
-def run_rows(width: int):
-    def rows(batches):
-        held, size = [], 0
-        for batch in batches:
-            for doc, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode("utf-8", "surrogatepass") if text else b""
-                for at in range(0, max(1, len(raw) - width + 1), SEGMENT):
-                    held.append((doc, own, at, raw[at : at + SEGMENT + width - 1]))
-                size += len(raw)
-                if size >= BLOCK:
-                    yield rows_of(held, width, runs)
-                    held, size = [], 0
-        yield rows_of(held, width, runs)
+def parts(starts: np.ndarray, sizes: np.ndarray, width: int):
+    """Lists of (first byte, size) of pieces of the stretches, each list of about PART bytes; pieces of a long stretch overlap
+    so that each window lies in one."""
+    own, total = [], 0
+    for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+        for at in range(0, max(1, size - width + 1), PIECE):
+            n = min(size - at, PIECE + width - 1)
+            own.append((start + at, n))
+            total += n
+            if total >= PART:
+                yield own
+                own, total = [], 0
+    if own:
+        yield own
+
+
+def looked(data: np.ndarray, own: list[tuple[int, int]], width: int, look):
+    """look over the pieces of a list: where each row starts in data, and what else look tells."""
+    sizes = np.array([n for _, n in own])
+    joined = np.concatenate([data[a : a + n] for a, n in own])
+    found = look(joined, np.cumsum(sizes) - sizes, sizes, width) if len(joined) >= width else None
+    if found is None:
+        return None
+    segment, place, *rest = found
+    return np.array([a for a, _ in own], np.int64)[segment] + place, *rest
+
+
+def all_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int):
+    """Start, length, anchor hash and content hash of each run of windows."""
+    found = [x for own in parts(starts, sizes, width) if (x := looked(data, own, width, runs)) is not None]
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    return [np.concatenate(x) for x in zip(empty, *found, strict=True)]
+
+
+class Digits:
+    """Equal (key, val) of a block's rows, given in the order of the text."""
+
+    def __init__(self, key: np.ndarray, val: np.ndarray):
+        self.order = np.lexsort((np.arange(len(key)), val, key))
+        key, val = key[self.order], val[self.order]
+        self.new = np.concatenate([[True], (key[1:] != key[:-1]) | (val[1:] != val[:-1])]) if len(key) else np.zeros(0, bool)
+        self.key, self.val = key[self.new], val[self.new]
+
+    def repeated(self, earlier: np.ndarray) -> np.ndarray:
+        """Which rows repeat one before them, here or (earlier) in a block before."""
+        out = np.empty(len(self.order), bool)
+        again = ~self.new
+        again[self.new] = earlier.astype(bool)
+        out[self.order] = again
+        return out
+
+
+def low(x: np.ndarray) -> np.ndarray:
+    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-    return rows
 
+class Runs:
+    """A block's runs, and their digits."""
+
+    def __init__(self, data, starts, sizes, width):
+        self.at, self.n, self.anchor, content = all_runs(data, starts, sizes, width)
+        self.contents = Digits(content, low(self.anchor))
+        order = np.lexsort((content, self.anchor))
+        a, b = self.anchor[order], content[order]
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+        self.anchors = a[first]
+        last = np.append(first[1:], len(a))[: len(first)] - 1
+        self.seen = low(b[first]).astype(np.uint64) << np.uint64(1) | (b[first] != b[last])  # the last bit: more than one content here
+
+
+def block_rows(folder: str, width: int, buckets: int):
+    """Writes a file of each block's rows and one of its bytes, and sends its runs' digits. Columns: row, doc, own, text; sorted by doc and own."""
 
-def window_rows(width: int):
     def rows(batches):
-        held, size = [], 0
+        held, texts, last, size, block = [], [], None, 0, TaskContext.get().partitionId() << 32
+
+        def flush():
+            kept = pa.Table.from_batches([pa.RecordBatch.from_arrays([*x.flatten(), k], [f"c{i}" for i in range(x.type.num_fields)] + ["k"]) for x, k in held])
+            sizes = np.array([len(t) for t in texts], np.int64)
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            name = store_table(folder, kept)
+            raw = store_table(folder, pa.table({"sizes": [sizes], "data": [planes(data)]}))
+            held.clear()
+            texts.clear()
+            yield file_row(block, name, raw.encode())
+            found = Runs(data, np.cumsum(sizes) - sizes, sizes, width)
+            yield parcels(RUNS, block, found.contents.key, found.contents.val, buckets)
+            yield parcels(ANCHORS, block, found.anchors, found.seen, buckets)
+
         for batch in batches:
-            for doc, own, text, needs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode("utf-8", "surrogatepass") if text else b""
-                for need in needs:
-                    held.append((doc, own, need["at"], raw[need["at"] : need["at"] + need["n"] + width - 1]))
-                    size += need["n"] + width
-                if size >= BLOCK // 8:
-                    yield rows_of(held, width, windows)
-                    held, size = [], 0
-        yield rows_of(held, width, windows)
+            row, doc, own = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            numbers, first = [], 0
+            for k, text in enumerate(batch.column(3).cast(pa.binary()).to_pylist()):
+                new = (doc[k], own[k], text or b"")
+                if new != last:
+                    if texts and size + len(new[2]) > BLOCK:
+                        held.append((row.slice(first, k - first), pa.array(numbers, pa.int32())))
+                        yield from flush()
+                        numbers, first, size, block = [], k, 0, block + 1
+                    texts.append(new[2])
+                    last, size = new, size + len(new[2])
+                numbers.append(len(texts) - 1)
+            held.append((row.slice(first), pa.array(numbers, pa.int32())))
+        if texts:
+            yield from flush()
 
     return rows
 
 
-def covered(size: int, spans, width: int) -> np.ndarray:
-    """Which bytes the repeated windows cover; spans: first start and number of windows."""
-    edge = np.zeros(size + 1, np.int32)
-    for s in spans or ():
-        edge[min(s["at"], size)] += 1
-        edge[min(s["at"] + s["n"] + width - 1, size)] -= 1
-    return np.cumsum(edge[:size]) > 0
-
+def first_pass(rows: pa.Table) -> pa.Table:
+    """Of a bucket's runs: those whose content an earlier block has; of its anchors: those with more than one content."""
+    kind = rows.column("kind")[0].as_py()
+    return rows.select(NAMES) if kind == FILE else several(rows) if kind == ANCHORS else earlier(rows)
+
+
+def earlier(rows: pa.Table) -> pa.Table:
+    if rows.column("kind")[0].as_py() == FILE:
+        return rows.select(NAMES)
+    rows = in_order(rows)
+    keys, vals, cuts, row = opened(rows, np.uint32)
+    vals = np.concatenate([v[0] for v in vals])
+    order = np.lexsort((row, vals, keys))
+    again = np.zeros(len(keys), np.uint8)
+    again[order[1:]] = (keys[order[1:]] == keys[order[:-1]]) & (vals[order[1:]] == vals[order[:-1]])
+    return replies(rows, [planes(again[a:b]) for a, b in cuts])
+
+
+def several(rows: pa.Table) -> pa.Table:
+    keys, vals, cuts, _ = opened(rows, np.uint64)
+    vals = np.concatenate([v[0] for v in vals])
+    order = np.lexsort((vals, keys))
+    k, v = keys[order], vals[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    ends = np.append(first[1:], len(k))
+    more = (v[first] != v[ends - 1]) | (np.bitwise_or.reduceat(v, first) & np.uint64(1)).astype(bool)
+    out = np.empty(len(k), np.uint8)
+    out[order] = np.repeat(more, ends - first)
+    return replies(rows, [planes(out[a:b]) for a, b in cuts])
+
+
+def bytes_of(folder: str, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block's bytes, and where its documents' begin and how many they are."""
+    name = next(bytes(v).decode() for k, v in zip(rows.column("kind").to_pylist(), rows.column("vals").to_pylist(), strict=True) if k == FILE)
+    own = load_table(folder, name)
+    sizes = own.column("sizes")[0].values.to_numpy()
+    return unplaned(own.column("data")[0].as_py(), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def stretches(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows that follow each other made one."""
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + n[:-1]])) if len(at) else np.zeros(0, np.int64)
+    return at[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def window_digits(data: np.ndarray, at: np.ndarray, n: np.ndarray, width: int):
+    """Start and two hashes of each window of the stretches, in lists of about WINDOWS_AT_ONCE."""
+    held, size = [], 0
+    for own in parts(at, n + width - 1, width):
+        found = looked(data, own, width, windows)
+        if found is not None:
+            held.append((found[0], found[2], low(found[3])))
+            size += len(found[0])
+            if size >= WINDOWS_AT_ONCE:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, size = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def second_pass(folder: str, width: int, buckets: int):
+    """Of a block: writes which runs are repeated and which are looked at by window; sends the digits of those windows."""
+
+    def rows(answers: pa.Table) -> pa.Table:
+        data, starts, sizes = bytes_of(folder, answers)
+        found = Runs(data, starts, sizes, width)
+        again = found.contents.repeated(of_block(answers, RUNS, np.uint8, 1)[0])
+        more = of_block(answers, ANCHORS, np.uint8, 1)[0].astype(bool)
+        look = np.flatnonzero(~again & more[np.searchsorted(found.anchors, found.anchor)]) if len(again) else np.zeros(0, np.int64)
+        gone, open_ = stretches(found.at[again], found.n[again]), stretches(found.at[look], found.n[look])
+        state = store_table(folder, pa.table({k: [x] for k, x in zip(("at", "n", "open_at", "open_n"), (*gone, *open_), strict=True)}))
+        old = answers.filter(pc.equal(answers.column("kind"), FILE)).select(NAMES).slice(0, 1).to_batches()[0]
+        block = old.column(2)[0].as_py()
+        out = [old, file_row(block, state, b"state")]
+        for k, (_, a, b) in enumerate(window_digits(data, *open_, width)):
+            digits = Digits(a, b)
+            out.append(parcels(WINDOWS + k, block, digits.key, digits.val, buckets))
+        return pa.Table.from_batches([x.cast(out[0].schema) for x in out])
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """rows with k: 1 for the earliest of equal digits, and for what repeats it as the same document's."""
-    return rows.select("*", F.rank().over(Window.partitionBy("a", "b", "dup").orderBy("doc", "own", "at")).alias("k"))
+    return rows
 
 
-def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc, own, at, n): the starts from at on, n of them, of windows that also start earlier; docs: doc, own, text. Written."""
-    spark = docs.sparkSession
-    found = ranked(docs.mapInArrow(run_rows(width), ROWS).repartition("a"))
-    bucket = Window.partitionBy("a")
-    found = found.select("*", (F.min("b").over(bucket) != F.max("b").over(bucket)).alias("more"))
-    found = written(found.select("doc", "own", "at", "n", (F.col("dup") | (F.col("k") > 1)).alias("again"), "more").where("again or more"), "runs")
+def cut(docs: DataFrame, width: int, make, schema) -> DataFrame:
+    """make(rows, data, starts, sizes, gone) of each block: rows has docs' columns but text, by number, and k, the document's
+    number in the block; data, starts and sizes are its documents' bytes, and gone tells which bytes repeated windows cover."""
+    spark, folder = docs.sparkSession, fresh_path(docs.sparkSession, "suffix-blocks")
+    buckets = buckets_of(docs)
+    rows = docs.select(F.struct(*(column(n) for n in docs.columns if n != "text")).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "text")
+    rows = rows.repartitionByRange(buckets, "doc", "own").sortWithinPartitions("doc", "own")
+    sent = rows.mapInArrow(block_rows(folder, width, buckets), PARCELS)
+    found = written(sent.groupBy("kind", "bucket").applyInArrow(first_pass, PARCELS), "runs")
     release(spark)
-    needs = found.where("not again").groupBy("doc", "own").agg(F.collect_set(F.struct("at", "n")).alias("needs"))
-    parts = docs.join(needs, ["doc", "own"]).select("doc", "own", "text", "needs").mapInArrow(window_rows(width), ROWS).repartition("a")
-    again = ranked(parts).where(F.col("dup") | (F.col("k") > 1))
-    out = written(found.where("again").select("doc", "own", "at", "n").union(again.select("doc", "own", "at", "n")), "repeated")
+    sent = found.groupBy("block").applyInArrow(second_pass(folder, width, 4 * buckets), PARCELS)
+    table = written(sent.groupBy("bucket").applyInArrow(earlier, PARCELS), "windows")
     release(spark)
-    return out
 
+    def finish(answers: pa.Table) -> pa.Table:
+        is_state = [k == FILE and v == b"state" for k, v in zip(answers.column("kind").to_pylist(), answers.column("vals").to_pylist(), strict=True)]
+        state = load_table(folder, file_of(answers.filter(pa.array(is_state))))
+        answers = answers.filter(pa.array([not x for x in is_state]))
+        data, starts, sizes = bytes_of(folder, answers)
+        at, n, open_at, open_n = (state.column(c)[0].values.to_numpy() for c in ("at", "n", "open_at", "open_n"))
+        edge = np.zeros(len(data) + 1, np.int32)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + n + width - 1, -1)
+        for k, (place, a, b) in enumerate(window_digits(data, open_at, open_n, width)):
+            place = place[Digits(a, b).repeated(of_block(answers, WINDOWS + k, np.uint8, 1)[0])]
+            np.add.at(edge, place, 1)
+            np.add.at(edge, place + width, -1)
+        return make(load_table(folder, file_of(answers)), data, starts, sizes, np.cumsum(edge[:-1]) > 0)
 
-def spanned(docs: DataFrame, width: int) -> DataFrame:
-    """docs with its repeated windows: columns of docs, and spans."""
-    doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST_ID))
-    own = F.when(docs["doc_id"].cast("long").isNull(), F.xxhash64(F.coalesce(docs["text"], F.lit("")))).otherwise(F.lit(0))
-    spans = repeated(docs.select(doc.alias("doc"), own.alias("own"), "text"), width)
-    spans = spans.groupBy(F.col("doc").alias("_doc"), F.col("own").alias("_own")).agg(F.collect_set(F.struct("at", "n")).alias("_spans"))
-    return docs.join(spans, (doc == F.col("_doc")) & (own == F.col("_own")), "left")
+    return table.groupBy("block").applyInArrow(finish, schema)
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs."""
 
-    def rows(batches):
-        for batch in batches:
-            out = [[], [], [], []]
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass") if text else b""
-                gone = covered(len(raw), spans, width)
-                new = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if new else raw
-                for column, x in zip(out, (len(raw), int(gone.sum()), new, hashlib.sha256(kept).hexdigest()), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, [pa.int64()] * 3 + [pa.string()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def make(rows, data, starts, sizes, gone):
+        begins = gone & ~np.concatenate([[False], gone[:-1]])
+        some = starts[sizes > 0]
+        begins[some] = gone[some]
+        sums, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
+        removed, spans = sums[starts + sizes] - sums[starts], spans[starts + sizes] - spans[starts]
+        digests = [hashlib.sha256(data[a : a + n][~gone[a : a + n]] if m else data[a : a + n]).hexdigest() for a, n, m in zip(starts.tolist(), sizes.tolist(), removed.tolist(), strict=True)]
+        k = rows.column("k").to_numpy()
+        return pa.table([rows.column("c0"), pa.array(sizes[k]), pa.array(removed[k], pa.int64()), pa.array(spans[k], pa.int64()), pa.array([digests[x] for x in k.tolist()], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return spanned(docs, width).select(F.col("doc_id").cast("long"), "text", "_spans").mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated windows out of the texts; characters that would be cut in half go whole. n_chars follows where it is there."""
+    """Cut repeated windows out of the texts; characters that would be cut in half go whole. Null texts stay null. n_chars
+    follows where it is there and holds whole numbers."""
     names, schema = docs.columns, docs.schema
-
-    def rows(batches):
-        for batch in batches:
-            texts, sizes = [], []
-            for text, spans in zip(batch.column(names.index("text")).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                if text and spans:
-                    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                    gone = covered(len(raw), spans, WIDTH)
-                    chars = np.cumsum((raw & 0xC0) != 0x80) - 1
-                    gone = (np.bincount(chars, gone, chars[-1] + 1) > 0)[chars]
-                    text = raw[~gone].tobytes().decode("utf-8", "surrogatepass")
-                texts.append(text)
-                sizes.append(len(text) if text is not None else None)
-            out = {n: batch.column(i) for i, n in enumerate(names)} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in out:
-                out["n_chars"] = pa.array(sizes, pa.int64())
-            yield pa.RecordBatch.from_arrays([*out.values()], names)
-
-    return spanned(docs, WIDTH).select(*(docs[n] for n in names), "_spans").mapInArrow(rows, schema)
+    counts = "n_chars" in names and isinstance(schema["n_chars"].dataType, T.IntegralType)
+
+    def make(rows, data, starts, sizes, gone):
+        texts = []
+        for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+            raw, own = data[a : a + n], gone[a : a + n]
+            if own.any():
+                chars = np.cumsum((raw & 0xC0) != 0x80) - 1
+                raw = raw[~(np.bincount(chars, own, chars[-1] + 1) > 0)[chars]]
+            texts.append(raw.tobytes().decode("utf-8", "replace"))
+        k, out, number = rows.column("k").to_pylist(), [], 0
+        none = rows.column(f"c{len(names) - 1}").to_pylist()
+        new = [None if x else texts[i] for i, x in zip(k, none, strict=True)]
+        for name in names:
+            if name == "text":
+                out.append(pa.array(new, pa.string()))
+                continue
+            old = rows.column(f"c{number}")
+            out.append(pa.array([None if t is None else len(t) for t in new], old.type) if counts and name == "n_chars" else old)
+            number += 1
+        return pa.table(out, names)
+
+    none = next(x for x in (f"none{k}" for k in range(len(names) + 1)) if x not in names)
+    return cut(docs.withColumn(none, F.col("text").isNull()), WIDTH, make, schema)
 
 
 by_value(__name__)

@@ -237,6 +237,31 @@ def test_suffix_dedup(spark):
     assert staged.columns == frame(spark, rows).columns and staged.count() == len(rows)
 
 
+def test_suffix_dedup_at_limits(spark, monkeypatch):
+    """Blocks, pieces and parts far smaller than the texts, and far larger than usual ones."""
+    r = random.Random(12)
+    base = "".join(r.choice("abcdefg h") for _ in range(2500))
+    rows = [(i, base[a : a + r.randrange(90, 900)] + "é" + base[b : b + r.randrange(90, 900)]) for i in range(40) for a, b in [(r.randrange(1500), r.randrange(1500))]]
+    rows += [(100, base * 5), (101, None), (102, "q" * 2000)]
+    for limits in ({"BLOCK": 700, "PIECE": 130, "PART": 250, "WINDOWS_AT_ONCE": 60}, {"BLOCK": 10_000, "PIECE": 1000, "PART": 3000}):
+        for name, value in limits.items():
+            monkeypatch.setattr(suffix_dedup, name, value)
+        out = {x[0]: tuple(x)[1:] for x in suffix_dedup.deduplicated(frame(spark, rows)).collect()}
+        assert out == dedup_brute(rows)
+
+
+def test_suffix_dedup_on_real_rows(spark):
+    data = "/root/testdata/sf0.01"
+    rows = [tuple(x) for x in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    out = {x[0]: tuple(x)[1:] for x in suffix_dedup.op7(spark, data).collect()}
+    assert out == dedup_brute(rows)
+    odd = spark.createDataFrame([(1, "x" * 300, 7, "a"), (None, None, None, None), (2, "", 0, "b")], "doc_id long, text string, n_chars int, `_spans` string").withColumn("none0", F.lit(1)).withColumn("a.b`", F.lit(2))
+    staged = suffix_dedup.stage(spark, odd, "")
+    assert staged.schema == odd.schema
+    assert sorted([tuple(x) for x in staged.collect()], key=str) == sorted([(1, "x" * 100, 100, "a", 1, 2), (None, None, None, None, 1, 2), (2, "", 0, "b", 1, 2)], key=str)
+    assert suffix_dedup.stage(spark, odd.limit(0), "").count() == suffix_dedup.deduplicated(odd.limit(0)).count() == 0
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(0).integers(0, 300, 5000)
     m, _ = wavelet.from_bytes(wavelet.to_bytes(wavelet.WaveletMatrix.of(ids), {}))
