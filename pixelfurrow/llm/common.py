@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 import tempfile
 import uuid
@@ -19,9 +18,11 @@ def by_value(module: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests), one is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset on one machine (tests), one is made and set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="pixelfurrow-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,11 +32,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts lineage and survives the loss of executors."""
+    """df as a Parquet table in the shared folder: it cuts lineage and survives the loss of executors. The shuffles that made
+    it go with the job, as nothing reads them again."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
@@ -81,6 +90,14 @@ def training_labels(labels: DataFrame, label: str, modulus: int, held_out: int,
     return bounded_sample(rows, "doc_id", limit)
 
 
+class Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 def blocks(texts, most: int = 4 << 20):
     """(first, last) row ranges of about most bytes of text; a longer text is a block of its own."""
     first, size = 0, 0
@@ -106,12 +123,6 @@ def kept(key, make):
     return store[key]
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now, not when the driver next collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def isotonic(score: np.ndarray, label: np.ndarray, bins: int = 2000) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators over at most bins groups of the sorted scores; the mean score and the smoothed rate of each pool."""
     if not len(score):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfurrow.llm.common import by_value, discard, release, written
+from pixelfurrow.llm.common import by_value, discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,6 @@ def components(edges: DataFrame) -> DataFrame:
         new = joined.where(F.col("v") != F.col("m")).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         new = written(new, "edges")
         discard(edges)
-        release(edges.sparkSession)
         edges, state = new, new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -27,8 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfurrow.llm.byte_bpe import Numbers
-from pixelfurrow.llm.common import by_value, fresh_path, release, written
+from pixelfurrow.llm.common import Numbers, by_value, fresh_path, written
 from pixelfurrow.llm.exchange import FILE, PARCELS, buckets_of, file_of, file_row, load_table, of_block, opened, parcels, planes, replies, store_table, unplaned
 from pixelfurrow.llm.ngram_join import ODD, mixed
 from pixelfurrow.llm.toxicity import words
@@ -134,13 +133,13 @@ def tallied(batches):
 
 def scored(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, score of each row; docs: doc_id, text; target: its doc_ids."""
-    spark, folder = docs.sparkSession, fresh_path(docs.sparkSession, "lm-blocks")
+    folder = fresh_path(docs.sparkSession, "lm-blocks")
+    buckets = buckets_of(docs)
     target = target.select("doc_id").distinct().withColumn("target", F.lit(True))
     target = F.broadcast(target) if target.count() <= SMALL else target  # beyond that the join shuffles the texts
     marked = docs.join(target, "doc_id", "left").select("doc_id", "text", "target")
-    sent = marked.mapInArrow(block_rows(folder, buckets_of(docs)), PARCELS)
+    sent = marked.mapInArrow(block_rows(folder, buckets), PARCELS)
     table = written(sent.groupBy("kind", "bucket").applyInArrow(add_up, PARCELS), "lm-sums")
-    release(spark)
     totals = table.where(F.col("kind") == FILE).select("vals").mapInArrow(tallied, ", ".join(f"{c} long" for c in COUNTS))
     totals = [float(x) for x in totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in COUNTS)).first()]
 
@@ -164,7 +163,7 @@ def scored(docs: DataFrame, target: DataFrame) -> DataFrame:
             means[some] = np.add.reduceat(diff, (np.cumsum(sizes) - sizes)[some]) / sizes[some]
         return pa.table([ids, pa.array(sizes), pa.array(means, mask=~some)], ["doc_id", "n_tokens", "score"])
 
-    return table.groupBy("block").applyInArrow(assemble, "doc_id long, n_tokens long, score double")
+    return table.repartition(buckets, "block").groupBy("block").applyInArrow(assemble, "doc_id long, n_tokens long, score double")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

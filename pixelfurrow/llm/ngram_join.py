@@ -28,14 +28,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelfurrow.llm.common import blocks, by_value, discard, release, written
+from pixelfurrow.llm.common import Numbers, by_value, discard, fresh_path, written
 from pixelfurrow.llm.components import components
+from pixelfurrow.llm.exchange import FILE, PARCELS, buckets_of, file_row, load_table, opened, parcels, store_table
 
-DIMENSIONS, FOLDED, CHUNK, NODE, SMALL, LEAST = 512, 64, 1024, 16, 500_000, 16
+DIMENSIONS, FOLDED, CHUNK, NODE, SMALL, LEAST, BLOCK = 512, 64, 1024, 16, 500_000, 16, 16 << 20
 ODDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9]
 ODD = np.array(ODDS, np.uint64)
 
@@ -142,21 +144,74 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
 
 
-def sketch_rows(k: int, link: Link):
+KEYS = 1
+SKETCH = "block long, part int, doc_id long, n long, sid long"
+FOUND = "kind int, block long, part int, key long, name string"
+
+
+def sketch_rows(folder: str, k: int, link: Link, buckets: int):
+    """Writes a file of each block's documents: part (the set's number in the block), doc_id, n, sid; sends the keys of its
+    distinct sets with their numbers. A bucket tells keys apart by about 40 bits."""
+    lost = np.uint64(max(0, 24 - max(1, buckets).bit_length()))
+
+    def rows(batches):
+        memo, block, size, held = {}, TaskContext.get().partitionId() << 32, 0, []
+
+        def flush():
+            parts, ids, n, keys, own = Numbers(), [], [], [], []
+            for _, text in held:
+                h = shingles(text, k, memo)
+                n.append(len(h))
+                ids.append(set_id(h))
+                known = len(parts)
+                number = parts[ids[-1]]
+                if number == known and len(h):
+                    keys.append(link.keys(h).view(np.uint64) >> lost << lost)
+                    own.append(np.full(len(keys[-1]), number, np.uint32))
+            name = store_table(folder, pa.table({"block": pa.array([block] * len(held), pa.int64()), "part": pa.array([parts[x] for x in ids], pa.int32()), "doc_id": pa.array([d for d, _ in held], pa.int64()), "n": pa.array(n, pa.int64()), "sid": pa.array(ids, pa.int64())}))
+            held.clear()
+            yield file_row(block, name)
+            if keys:
+                keys, own = np.concatenate(keys), np.concatenate(own)
+                order = np.lexsort((own, keys))
+                yield parcels(KEYS, block, keys[order], own[order], buckets)
+
+        for batch in batches:
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new = len(row[1] or "")
+                if held and size + new > BLOCK:
+                    yield from flush()
+                    size, block = 0, block + 1
+                held.append(row)
+                size += new
+        if held:
+            yield from flush()
+
+    return rows
+
+
+def shared_keys(rows: pa.Table) -> pa.Table:
+    """FOUND: of a bucket's keys, those that more than one set of a block has, with the sets."""
+    if rows.column("kind")[0].as_py() == FILE:
+        n, names = rows.num_rows, [bytes(x).decode() for x in rows.column("keys").to_pylist()]
+        return pa.table([rows.column("kind"), rows.column("block"), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array(names, pa.string())], ["kind", "block", "part", "key", "name"])
+    keys, vals, _, row = opened(rows, np.uint32)
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    same = k[1:] == k[:-1]
+    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(k) else order
+    blocks = rows.column("block").to_numpy()[row[order]]
+    n = len(order)
+    return pa.table([pa.array(np.full(n, KEYS, np.int32)), pa.array(blocks), pa.array(np.concatenate([v[0] for v in vals])[order].astype(np.int32)), pa.array(keys[order].view(np.int64)), pa.nulls(n, pa.string())], ["kind", "block", "part", "key", "name"])
+
+
+def loaded(folder: str):
+    """The rows of the files of that name."""
+
     def rows(batches):
-        memo, seen = {}, set()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts, 8 << 20):
-                n, ids, keys = [], [], []
-                for text in texts[a:b]:
-                    h = shingles(text, k, memo)
-                    n.append(len(h))
-                    ids.append(set_id(h))
-                    new = len(h) > 0 and ids[-1] not in seen  # equal sets of this task emit their keys once
-                    seen.add(ids[-1])
-                    keys.append(link.keys(h) if new else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "sid", "keys"])
+            for name in batch.column(0).to_pylist():
+                yield from load_table(folder, name).to_batches()
 
     return rows
 
@@ -283,24 +338,28 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of the component), set_id and root (a set of the component) of each row."""
     spark, link = docs.sparkSession, Link(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = written(docs.mapInArrow(sketch_rows(k, link), "doc_id long, n long, sid long, keys array<long>"), "sketch")
-    exploded = sketch.select("sid", F.explode("keys").alias("key")).where("key is not null and sid is not null")  # as joins ask, so that one exchange serves both uses
-    keyed = exploded.repartition("key").groupBy("key", "sid").agg(F.lit(1).alias("x"))
+    folder, buckets = fresh_path(spark, "sketch"), buckets_of(docs)
+    sent = docs.mapInArrow(sketch_rows(folder, k, link, buckets), PARCELS)
+    found = written(sent.groupBy("kind", "bucket").applyInArrow(shared_keys, FOUND), "keys")
+    sketch = found.where(F.col("kind") == FILE).select("name").mapInArrow(loaded(folder), SKETCH)
+    sketch = written(sketch, "sketch")
+    parts = sketch.where("n > 0").select("block", "part", "sid").distinct()
+    keyed = found.where(F.col("kind") == KEYS).join(parts, ["block", "part"]).select("sid", "key")
+    keyed = keyed.where("key is not null and sid is not null")  # as joins ask, so that one exchange serves both uses
+    keyed = keyed.repartition("key").groupBy("key", "sid").agg(F.lit(1).alias("x"))
     prints = [F.bit_xor(F.xxhash64("sid", F.lit(x))).alias(f"x{x}") for x in (0, 1)]
     keys = keyed.groupBy("key").agg(F.min("sid").alias("u"), F.count("*").alias("c"), *prints).where("c > 1")
     keys = keys.groupBy("c", "x0", "x1").agg(F.min("key").alias("key"), F.min("u").alias("u")).select("key", "u")
     members = keyed.join(keys, "key").select("key", "sid", "u")  # keys of the same sets are one key
     members = written(members, "members")
-    release(spark)
+    discard(found)
     some = members.select("sid").distinct()
     reps = sketch.where("n > 0").select("sid", "doc_id").join(some, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where("doc_id is not null").distinct()
     reps = written(reps, "reps")
     chosen = docs.join(F.broadcast(reps) if reps.count() <= SMALL else reps, "doc_id")
     chosen = chosen.select("doc_id", "text").union(docs.where("doc_id is null").select("doc_id", "text"))  # sets that no row with an id has
     sets = written(chosen.mapInArrow(set_rows(k), "sid long, n long, counts binary, hashes binary").dropDuplicates(["sid"]), "sets")
-    release(spark)
     links = written(verified(members.where(F.col("sid") != F.col("u")).select("u", F.col("sid").alias("v")).distinct(), sets, link), "links")
-    release(spark)
     roots = components(links)
     named = members.select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
     per = named.groupBy("key", "root").agg(F.count("*").alias("n"))
@@ -314,7 +373,6 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     met = met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "sid", "root", "whole", "counts", "least")
     pairs = met.mapInArrow(tree_pairs(link), "u long, v long").distinct()
     more = written(verified(pairs, sets, link).union(links), "links")
-    release(spark)
     final = components(more)
     discard(links, members, sets, reps)
     ids = sketch.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))

@@ -258,7 +258,7 @@ def test_suffix_dedup_on_real_rows(spark):
     odd = spark.createDataFrame([(1, "x" * 300, 7, "a"), (None, None, None, None), (2, "", 0, "b")], "doc_id long, text string, n_chars int, `_spans` string").withColumn("none0", F.lit(1)).withColumn("a.b`", F.lit(2))
     staged = suffix_dedup.stage(spark, odd, "")
     assert staged.schema == odd.schema
-    assert sorted([tuple(x) for x in staged.collect()], key=str) == sorted([(1, "x" * 100, 100, "a", 1, 2), (None, None, None, None, 1, 2), (2, "", 0, "b", 1, 2)], key=str)
+    assert sorted([tuple(x) for x in staged.collect()], key=str) == sorted([(1, "x", 1, "a", 1, 2), (None, None, None, None, 1, 2), (2, "", 0, "b", 1, 2)], key=str)
     assert suffix_dedup.stage(spark, odd.limit(0), "").count() == suffix_dedup.deduplicated(odd.limit(0)).count() == 0
 
 
