@@ -1,9 +1,10 @@
 """Token ids in wavelet matrices: one compressed file per shard.
 
 A shard holds the ids of consecutive documents. Its wavelet matrix has a bit-plane for each bit of the largest id, from
-the highest; each plane stores the bits, and the ones before every 512th bit. Planes are compressed one by one, so a
-reader opens those that it needs. With rank and select on planes the file answers access(i), rank(id, i) and
-select(id, k) without being unpacked to ids.
+the highest. A file stores each plane in pieces of 2^19 bits that are compressed one by one, and the plane's rank directory:
+the ones in every 512 bits. Its head tells where all of these are. A reader opens a plane's directory and the pieces that a
+question touches, so with rank and select on planes the file answers access(i), rank(id, i) and select(id, k) without being
+read whole or unpacked to ids.
 
 Texts are dealt by ranges of doc_id and sorted, encoded, and written shard by shard: first under a name of the task
 attempt's own. Only the files in the written index of a finished job are read, so lost executors and repeated attempts
@@ -35,16 +36,17 @@ from tokenizers import Tokenizer
 from pixelfurrow.llm.common import by_value, fresh_path, kept, parallel, written
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-END_ID, SHARD, STEP, MEMO = 2, 4 << 20, 512, 300_000
-MAGIC = b"WVMX1\n"
+END_ID, SHARD, STEP, PIECE, MEMO = 2, 4 << 20, 512, 1 << 16, 600_000
+MAGIC = b"WVMX2\n"
 
 
 class WaveletMatrix:
     """Bit-planes over a sequence of non-negative ids."""
 
-    def __init__(self, n: int, planes: list[tuple[int, np.ndarray]]):
-        """planes: number of zeros, packed bits; from the highest bit."""
-        self.n, self.planes, self.ones = n, planes, [_ones(bits) for _, bits in planes]
+    def __init__(self, n: int, planes: list, ones=None):
+        """planes: number of zeros, packed bits; from the highest bit. ones: of each plane, before every STEP-th bit and in all."""
+        self.n, self.planes = n, planes
+        self.ones = [_ones(bits) for _, bits in planes] if ones is None else ones
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -123,7 +125,7 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for level, (zeros, raw) in enumerate(reversed(self.planes)):
-            bit = np.unpackbits(raw, count=self.n, bitorder="little").view(bool)
+            bit = np.unpackbits(raw[:], count=self.n, bitorder="little").view(bool)
             new = np.empty(self.n, kind)
             new[~bit] = out[:zeros]
             new[bit] = out[zeros:] | kind(1 << level)
@@ -137,22 +139,68 @@ def _ones(bits: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(per)])
 
 
+class Pieces:
+    """The bits of a plane in a file, by pieces read when they are asked for; a slice lies in one piece or takes all."""
+
+    def __init__(self, read, at: list[int]):
+        self.read, self.at, self.held = read, at, {}
+
+    def piece(self, k: int) -> np.ndarray:
+        if k not in self.held:
+            self.held[k] = np.frombuffer(zstandard.decompress(self.read(self.at[k], self.at[k + 1] - self.at[k])), np.uint8)
+        return self.held[k]
+
+    def __getitem__(self, i):
+        if not isinstance(i, slice):
+            return self.piece(i // PIECE)[i % PIECE]
+        if i.start is None:
+            return np.concatenate([np.zeros(0, np.uint8), *(self.piece(k) for k in range(len(self.at) - 1))])
+        if i.start >= i.stop:
+            return np.zeros(0, np.uint8)
+        k = i.start // PIECE
+        return self.piece(k)[i.start - k * PIECE : i.stop - k * PIECE]
+
+
+class Directories:
+    """The rank directories of a file's planes, read when they are asked for."""
+
+    def __init__(self, read, at: list[tuple[int, int]]):
+        self.read, self.at, self.held = read, at, {}
+
+    def __getitem__(self, level: int) -> np.ndarray:
+        if level not in self.held:
+            per = np.frombuffer(zstandard.decompress(self.read(*self.at[level])), "<u2")
+            self.held[level] = np.concatenate([[0], np.cumsum(per, dtype=np.int64)])
+        return self.held[level]
+
+
 def to_bytes(matrix: WaveletMatrix, docs: dict) -> bytes:
     """docs: doc_id and n_tokens lists."""
-    parts = [zstandard.compress(bits.tobytes(), 1) for _, bits in matrix.planes]
-    head = zstandard.compress(json.dumps(docs | {"n": matrix.n, "zeros": [z for z, _ in matrix.planes], "sizes": [len(p) for p in parts]}).encode(), 1)
+    parts, sizes = [], []
+    for (_, bits), ones in zip(matrix.planes, matrix.ones, strict=True):
+        own = [zstandard.compress(np.diff(ones).astype("<u2").tobytes(), 1), *(zstandard.compress(bits[a : a + PIECE].tobytes(), 1) for a in range(0, len(bits), PIECE))]
+        parts += own
+        sizes.append([len(x) for x in own])
+    head = zstandard.compress(json.dumps(docs | {"n": matrix.n, "zeros": [z for z, _ in matrix.planes], "sizes": sizes}).encode(), 1)
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])
 
 
+def opened(read) -> tuple[WaveletMatrix, dict]:
+    """The matrix of a file; read(at, n) gives its bytes from at on."""
+    start = read(0, len(MAGIC) + 4)
+    assert start.startswith(MAGIC), "no wavelet file"
+    size = struct.unpack("<I", start[len(MAGIC) :])[0]
+    docs, at, planes, ones = json.loads(zstandard.decompress(read(len(start), size))), len(start) + size, [], []
+    for zeros, sizes in zip(docs["zeros"], docs["sizes"], strict=True):
+        ends = (at + np.cumsum([0, *sizes])).tolist()
+        ones.append((at, sizes[0]))
+        planes.append((zeros, Pieces(read, ends[1:])))
+        at = ends[-1]
+    return WaveletMatrix(docs["n"], planes, Directories(read, ones)), docs
+
+
 def from_bytes(raw: bytes) -> tuple[WaveletMatrix, dict]:
-    assert raw.startswith(MAGIC), "no wavelet file"
-    at = len(MAGIC) + 4
-    size = struct.unpack("<I", raw[at - 4 : at])[0]
-    docs, at, planes = json.loads(zstandard.decompress(raw[at : at + size])), at + size, []
-    for zeros, n in zip(docs["zeros"], docs["sizes"], strict=True):
-        planes.append((zeros, np.frombuffer(zstandard.decompress(raw[at : at + n]), np.uint8)))
-        at += n
-    return WaveletMatrix(docs["n"], planes), docs
+    return opened(lambda at, n: raw[at : at + n])
 
 
 class Encoder:
@@ -167,7 +215,7 @@ class Encoder:
         self.added = [t.content for t in added if not t.normalized]
         self.first = {t[0] for t in self.added}
         self.whole = any(t.normalized for t in added)  # these are looked for in the normal text
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.chunks = Chunks(self.chunk)
         self.pieces: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 400))
@@ -184,18 +232,12 @@ class Encoder:
         return found
 
     def chunk(self, chunk: str) -> bytes:
-        found = self.chunks.get(chunk)
-        if found is None:
-            if m := self.simple(chunk):
-                word = m[1].lower()
-                out = self.piece(word if word.isascii() else "".join(map(self.byte.__getitem__, word.encode())))
-                found = out + self.piece(m[2]) if m[2] else out
-            else:
-                normal = self.all.normalizer.normalize_str(chunk)
-                found = b"".join(self.piece(p) for p, _ in self.all.pre_tokenizer.pre_tokenize_str(normal))
-            if len(self.chunks) < MEMO:
-                self.chunks[chunk] = found
-        return found
+        if m := self.simple(chunk):
+            word = m[1].lower()
+            out = self.piece(word if word.isascii() else "".join(map(self.byte.__getitem__, word.encode())))
+            return out + self.piece(m[2]) if m[2] else out
+        normal = self.all.normalizer.normalize_str(chunk)
+        return b"".join(self.piece(p) for p, _ in self.all.pre_tokenizer.pre_tokenize_str(normal))
 
     def ids(self, text: str | None) -> bytes:
         """Unsigned 32-bit little endian ids."""
@@ -203,7 +245,20 @@ class Encoder:
             return b""
         if self.whole or (any(c in text for c in self.first) and any(t in text for t in self.added)):
             return np.array(self.all.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        return b"".join(map(self.chunk, text.replace("\n", " ").split(" ")))
+        if len(self.chunks) > MEMO:
+            self.chunks.clear()
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+class Chunks(dict):
+    """The ids of chunks, found when they are first asked for."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, chunk):
+        ids = self[chunk] = self.find(chunk) if chunk else b""
+        return ids
 
 
 def write_shards(vocabulary: str, folder: str, shard: int):
@@ -249,11 +304,23 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULA
 
 
 def read_shard(folder: str, name: str) -> tuple[WaveletMatrix, dict]:
+    """The whole file at once."""
     store, root = pafs.FileSystem.from_uri(folder)
     with store.open_input_stream(f"{root}/{name}") as source:
         return from_bytes(source.read())
 
 
+def open_shard(folder: str, name: str) -> tuple[WaveletMatrix, dict]:
+    """The file, of which only what questions touch is read."""
+    store, root = pafs.FileSystem.from_uri(folder)
+    source = store.open_input_file(f"{root}/{name}")
+
+    def read(at: int, n: int) -> bytes:
+        return source.read_at(n, at)
+
+    return opened(read)
+
+
 ROWS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
 
@@ -263,11 +330,7 @@ def read(folder: str, index: DataFrame) -> DataFrame:
     sums, total = {}, 0  # one number for each partition, not for each file
     for r in index.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
         sums[r.part], total = total, total + r.n
-    base = F.create_map(*[F.lit(x) for kv in sums.items() for x in kv]) if 0 < len(sums) <= 500 else None
-    if base is not None:
-        files = index.withColumn("base", base[F.col("part")])
-    else:
-        files = index.join(F.broadcast(spark.createDataFrame([*sums.items()], "part int, base long")), "part")
+    files = index.join(F.broadcast(spark.createDataFrame([*sums.items()], "part int, base long")), "part")
     files = files.selectExpr("file", "base + sum(n) over (partition by part order by seq) - n as start").repartition(parallel(index), "file")
 
     def digest(batches):

@@ -274,6 +274,26 @@ def test_wavelet_matrix():
     assert m.rank(1 << 20, 9) == 0
 
 
+def test_wavelet_file_is_read_in_pieces(tmp_path):
+    ids = np.random.default_rng(1).integers(0, 5000, 1_300_000)
+    raw = wavelet.to_bytes(wavelet.WaveletMatrix.of(ids), {"doc_id": [1], "n_tokens": [len(ids)]})
+    (tmp_path / "a").write_bytes(raw)
+    read = 0
+    matrix, _ = wavelet.open_shard(f"file://{tmp_path}", "a")
+    for i in (0, 511, 512, (1 << 19) - 1, 1 << 19, 1_299_999):
+        assert matrix.access(i) == ids[i]
+    at = np.flatnonzero(ids == ids[777_777])
+    assert matrix.rank(int(ids[777_777]), 900_000) == (at < 900_000).sum() and matrix.select(int(ids[777_777]), 3) == at[3]
+    assert (matrix.ids() == ids).all()
+
+    def counted(a, n):
+        nonlocal read
+        read += n
+        return raw[a : a + n]
+
+    assert wavelet.opened(counted)[0].access(5) == ids[5] and read < len(raw) / 2
+
+
 def test_wavelet_shards(spark):
     library = Tokenizer.from_file(wavelet.VOCABULARY)
     rows = [x for x in ODD if x[0] is not None] + [(20, "ΑΣ İx ¿q? 12 a1b x!?.."), (21, "Plain words, here.")]
