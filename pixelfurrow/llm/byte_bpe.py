@@ -36,7 +36,7 @@ from pixelfurrow.llm.common import Numbers, by_value, fresh_path, kept
 from pixelfurrow.llm.exchange import FILE, NAMES, PARCELS, buckets_of, file_of, file_row, load_table, packed_keys, planes, store_table, unpacked_keys, unplaned
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-BLOCK, MEMO, WORDS = 16 << 20, 300_000, 1
+BLOCK, MEMO, WORDS = 8 << 20, 300_000, 1
 
 
 def ranks(path: str) -> dict[bytes, int]:

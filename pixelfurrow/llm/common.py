@@ -123,6 +123,17 @@ def kept(key, make):
     return store[key]
 
 
+class Shared:
+    """A broadcast of a value whole, with the classes it is of, so that executors need no copy of the repository."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.key, self.sent = uuid.uuid4().hex, spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return kept(("shared", self.key), lambda: cloudpickle.loads(self.sent.value))
+
+
 def isotonic(score: np.ndarray, label: np.ndarray, bins: int = 2000) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators over at most bins groups of the sorted scores; the mean score and the smoothed rate of each pool."""
     if not len(score):

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfurrow.llm.common import by_value, written
+from pixelfurrow.llm.common import Shared, by_value
 
-Q, SHARE, BLOCK, PART = 8, 0.1, 4_000_000, 1 << 19
+Q, SHARE, BLOCK, PART, HITS = 8, 0.1, 4_000_000, 1 << 19, 1 << 20
 
 
 def normal(text: str | None) -> str:
@@ -50,29 +50,37 @@ def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
-def alignment(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int]:
-    """Least edits of item against any stretch of region, and the stretch; (k + 1, 0, 0) if over k.
-
-    Row by row over the item with free start and end in the region; rows stop when all cells are over k. A column's start is
-    carried along, so no second pass is needed."""
-    n = len(region)
-    cost, start = np.zeros(n + 1, np.int32), np.arange(n + 1)
-    steps = np.arange(n + 1, dtype=np.int32)
+def alignment(item: np.ndarray, region: np.ndarray, k: int, low: int | None = None, high: int | None = None) -> tuple[int, int, int]:
+    """Least edits of item against any stretch of region along the diagonals from low to high (all), and the stretch; (k + 1, 0, 0)
+    if over k.
+
+    Row by row over the item, in the band of those diagonals and k more at either side, with free start and end in the
+    region; rows stop when all cells are over k. A cell's start is carried along, so no second pass is needed."""
+    n, over = len(region), 1 << 20
+    low, high = (-len(item) if low is None else low) - k, (n if high is None else high) + k
+    low, high = max(low, -len(item)), min(high, n)
+    if low > high:
+        return k + 1, 0, 0
+    at = np.arange(low, high + 1)
+    padded = np.concatenate([np.full(max(0, -low) + 1, 0x110001, np.uint32), region, np.full(len(item) + 1, 0x110001, np.uint32)])[max(0, low) :]
+    cost, start = np.where((at >= 0) & (at <= n), 0, over).astype(np.int32), np.clip(at, 0, n)
+    steps = np.arange(len(at), dtype=np.int32)
     for i, c in enumerate(item, 1):
-        diagonal = cost[:-1] + (region != c)
-        up = cost[1:] + 1
-        take = diagonal <= up
-        new = np.concatenate([[i], np.where(take, diagonal, up)]).astype(np.int32)
-        origin = np.concatenate([[0], np.where(take, start[:-1], start[1:])])
+        new = cost + (padded[i : i + len(at)] != c)  # the character before column at + i
+        up = np.append(cost[1:], np.int32(over)) + 1
+        take = new <= up
+        new, origin = np.where(take, new, up).astype(np.int32), np.where(take, start, np.append(start[1:], 0))
+        column = at + i
+        new[(column < 0) | (column > n)] = over
         shifted = new - steps  # runs of insertions by a running minimum
-        low = np.minimum.accumulate(shifted)
-        better = low < shifted
-        last = np.maximum.accumulate(np.where(better, 0, steps))
-        cost, start = low + steps, origin[last]
+        least = np.minimum.accumulate(shifted)
+        last = np.maximum.accumulate(np.where(least < shifted, 0, steps))
+        cost, start = least + steps, origin[last]
+        cost[column > n] = over
         if cost.min() > k:
             return k + 1, 0, 0
     end = int(cost.argmin())
-    return int(cost[end]), int(start[end]), end
+    return int(cost[end]), int(start[end]), int(at[end]) + len(item)
 
 
 class Index:
@@ -95,36 +103,44 @@ class Index:
         self.short = [k for k, c in enumerate(self.codes) if 0 < len(c) < q]
 
     def hits(self, codes: np.ndarray):
-        """(place in text, item, place in item) of all shared q-grams."""
+        """(place in text, item, place in item) of all shared q-grams, in lists of about HITS: a repeated text has very many."""
         h = qgrams(codes, self.q)
         at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
         low, high = np.searchsorted(self.grams, h[at], "left"), np.searchsorted(self.grams, h[at], "right")
         n = high - low
-        rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.item[rows], self.place[rows]
+        ends = np.cumsum(n)
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HITS, "right")))
+            own = n[a:b]
+            rows = np.repeat(low[a:b], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            yield np.repeat(at[a:b], own), self.item[rows], self.place[rows]
+            a = b
+
+
+def tallied(doc, item, band, n):
+    """Equal (doc, item, band) as one, with their sum."""
+    order = np.lexsort((band, item, doc))
+    doc, item, band, n = doc[order], item[order], band[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(band) != 0)])) if len(doc) else np.zeros(0, np.int64)
+    return doc[new], item[new], band[new], np.add.reduceat(n, new) if len(new) else n
 
 
-def candidates(index: Index, starts: np.ndarray, at, item, place):
+def candidates(index: Index, starts: np.ndarray, hits):
     """(document of the block, item, first diagonal, last diagonal) of bands with enough hits; starts: of the documents."""
-    doc = np.searchsorted(starts, at, "right") - 1
-    diagonal = at - starts[doc] - place + (1 << 20)
-    width = index.edits[item] + 1
-    out = []
-    for half in (0, 1):
-        band = diagonal // width - half  # band b holds diagonals from b * width to (b + 2) * width - 1
-        order = np.lexsort((band, item, doc))
-        d, i, b = doc[order], item[order], band[order]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 0) | (np.diff(i) != 0) | (np.diff(b) != 0)])) if len(d) else np.zeros(0, int)
-        out.append((d[new], i[new], b[new], np.diff([*new, len(d)])))
-    d, i, b, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((b, i, d))
-    d, i, b, n = d[order], i[order], b[order], n[order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 0) | (np.diff(i) != 0) | (np.diff(b) != 0)])) if len(d) else np.zeros(0, int)
-    total = np.add.reduceat(n, new) if len(new) else n
-    d, i, b = d[new], i[new], b[new]
-    keep = total >= index.need[i]
+    none = np.zeros(0, np.int64)
+    total = none, none, none, none
+    for at, item, place in hits:
+        doc = np.searchsorted(starts, at, "right") - 1
+        band = (at - starts[doc] - place + (1 << 40)) // (index.edits[item] + 1)
+        one = np.ones(len(doc), np.int64)
+        for half in (0, 1):  # band b holds the diagonals from b * width to (b + 2) * width - 1
+            new = tallied(doc, item, band - half, one)
+            total = tallied(*(np.concatenate(x) for x in zip(total, new, strict=True)))
+    d, i, b, n = total
+    keep = n >= index.need[i]
     d, i, b = d[keep], i[keep], b[keep]
-    low = b * (index.edits[i] + 1) - (1 << 20)
+    low = b * (index.edits[i] + 1) - (1 << 40)
     return d, i, low, low + 2 * (index.edits[i] + 1) - 1
 
 
@@ -135,20 +151,21 @@ def matches_in(index: Index, texts: list[str | None]):
     starts = np.cumsum([0, *(len(c) + index.q for c in codes)])[:-1]
     joined = np.concatenate([x for c in codes for x in (c, gap)]) if codes else np.zeros(0, np.uint32)
     found = []
-    d, i, low, high = candidates(index, starts, *index.hits(joined))
+    d, i, low, high = candidates(index, starts, index.hits(joined))
     regions: dict[tuple[int, int], list[list[int]]] = {}
     for doc, item, a, b in zip(d.tolist(), i.tolist(), low.tolist(), high.tolist(), strict=True):
-        own, end = regions.setdefault((doc, item), []), b + len(index.codes[item])
-        if own and a <= own[-1][1]:
-            own[-1][1] = max(own[-1][1], end)
+        own = regions.setdefault((doc, item), [])
+        if own and a <= own[-1][1]:  # bands that overlap are aligned at once
+            own[-1][1] = b
         else:
-            own.append([max(0, a), end])
+            own.append([a, b])
     for (doc, item), own in regions.items():
-        k = int(index.edits[item])
+        k, m = int(index.edits[item]), len(index.codes[item])
         for a, b in own:
-            edits, first, last = alignment(index.codes[item], codes[doc][a:b], k)
+            first = max(0, a - k)  # of the stretch that the band's columns take
+            edits, begin, end = alignment(index.codes[item], codes[doc][first : b + m + k], k, a - first, b - first)
             if edits <= k:
-                found.append((doc, item, edits, a + first, a + last))
+                found.append((doc, item, edits, first + begin, first + end))
     for item in index.short:
         needle = index.codes[item].tobytes()
         for doc, c in enumerate(codes):
@@ -186,27 +203,37 @@ def item_blocks(benchmark: DataFrame):
         yield block
 
 
+def best_matches(found: list[Index], texts: list[str | None]):
+    """(number of the text, item_id, edits, first, last) of the best match of each item in each text."""
+    for index in found:
+        best = {}
+        for m in matches_in(index, texts):
+            best[m[:2]] = min(best.get(m[:2], m), m)
+        yield from ((d, index.ids[i], e, a, b) for d, i, e, a, b in best.values())
+
+
+def text_blocks(texts: list[str | None]):
+    """(first, last) of stretches of about PART characters."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= PART or k + 1 == len(texts):
+            yield first, k + 1
+            first, size = k + 1, 0
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, edits, first, last: the best match of each item in each row of docs; places in the normal text."""
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, edits int, first long, last long"
     for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(indexes(block, q, share))
+        shared = Shared(spark, indexes(block, q, share))
 
         def rows(batches, shared=shared):
             for batch in batches:
-                ids, texts, k = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-                while k < len(texts):
-                    first, size = k, 0
-                    while k < len(texts) and (k == first or size < PART):
-                        size += len(texts[k] or "")
-                        k += 1
-                    found = []
-                    for index in shared.value:
-                        best = {}
-                        for m in matches_in(index, texts[first:k]):
-                            best[m[:2]] = min(best.get(m[:2], m), m)
-                        found += [(ids[first + d], index.ids[i], e, a, b) for d, i, e, a, b in best.values()]
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for a, b in text_blocks(texts):
+                    found = [(ids[a + d], *rest) for d, *rest in best_matches(shared.value, texts[a:b])]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "edits", "first", "last"])
 
         new = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
@@ -219,9 +246,21 @@ def op10(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item."""
-    found = written(leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti")
+    """Drop the rows whose text holds a benchmark item, whatever their doc_id; each row is judged by its own text."""
+    names = docs.columns
+    for block in item_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
+        shared = Shared(spark, indexes(block, Q, SHARE))
+
+        def rows(batches, shared=shared):
+            for batch in batches:
+                texts, keep = batch.column(names.index("text")).to_pylist(), np.ones(batch.num_rows, bool)
+                for a, b in text_blocks(texts):
+                    for d, *_ in best_matches(shared.value, texts[a:b]):
+                        keep[a + d] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(rows, docs.schema)
+    return docs
 
 
 by_value(__name__)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pixelfurrow.llm.common import by_value, parallel
 
-BUCKET, FILE = 16 << 20, 0
+BUCKET, FILE = 8 << 20, 0
 NAMES = ["kind", "bucket", "block", "keys", "vals"]
 PARCELS = "kind int, bucket int, block long, keys binary, vals binary"
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfurrow.llm.common import blocks, by_value, fold
+from pixelfurrow.llm.common import Shared, blocks, by_value, fold
 
 ORDER = 3
 PAD = b"\0" * ORDER
@@ -147,7 +147,7 @@ def learn(docs: DataFrame, limit: int = 4000) -> Trees:
 
 def identify(docs: DataFrame, trees: Trees) -> DataFrame:
     """doc_id, lang_pred, score (posterior under equal priors) and bits_per_byte of each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared = Shared(docs.sparkSession, trees)
 
     def predict(batches):
         trees = shared.value
@@ -179,7 +179,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts are told apart by themselves, so the verdict joins its row without a shuffle of texts: it is computed beside it."""
     trees = learn(docs)
-    shared = spark.sparkContext.broadcast(trees)
+    shared = Shared(spark, trees)
     schema = docs.schema
 
     def keep(batches):

@@ -32,7 +32,7 @@ from pixelfurrow.llm.exchange import FILE, PARCELS, buckets_of, file_of, file_ro
 from pixelfurrow.llm.ngram_join import ODD, mixed
 from pixelfurrow.llm.toxicity import words
 
-MU, ADD, BLOCK, SMALL = 500.0, 1000.0, 16 << 20, 500_000
+MU, ADD, BLOCK, SMALL = 500.0, 1000.0, 8 << 20, 500_000
 WORDS, BIGRAMS = 1, 2
 COUNTS = ["n0", "n1", "t0", "t1"]
 

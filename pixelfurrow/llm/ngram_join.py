@@ -37,7 +37,7 @@ from pixelfurrow.llm.common import Numbers, by_value, discard, fresh_path, writt
 from pixelfurrow.llm.components import components
 from pixelfurrow.llm.exchange import FILE, PARCELS, buckets_of, file_row, load_table, opened, parcels, store_table
 
-DIMENSIONS, FOLDED, CHUNK, NODE, SMALL, LEAST, BLOCK = 512, 64, 1024, 16, 500_000, 16, 16 << 20
+DIMENSIONS, FOLDED, CHUNK, NODE, SMALL, LEAST, BLOCK = 512, 64, 1024, 16, 500_000, 16, 8 << 20
 ODDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9]
 ODD = np.array(ODDS, np.uint64)
 
@@ -53,7 +53,7 @@ def shingles(text: str | None, k: int, memo: dict[bytes, int]) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    if len(memo) > 400_000:
+    if len(memo) > 200_000:
         memo.clear()
     for w in set(words):
         if w not in memo:

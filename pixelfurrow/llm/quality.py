@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfurrow.llm.common import by_value, discard, fold, isotonic, training_labels, written
+from pixelfurrow.llm.common import Shared, by_value, discard, fold, isotonic, training_labels, written
 
 LIMIT, FEATURES, RIDGE, SEED, GROUPS = 40_000, 256, 1.0, 5, 8
 
@@ -142,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def score(batches):
         for batch in batches:

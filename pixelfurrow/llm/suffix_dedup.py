@@ -35,7 +35,7 @@ from pixelfurrow.llm.common import by_value, column, fresh_path, written
 from pixelfurrow.llm.exchange import FILE, NAMES, PARCELS, buckets_of, file_of, file_row, in_order, load_table, of_block, opened, parcels, planes, replies, store_table, unplaned
 from pixelfurrow.llm.ngram_join import mixed
 
-WIDTH, GRAM, BLOCK, PIECE, PART, WINDOWS_AT_ONCE = 100, 32, 16 << 20, 1 << 20, 1 << 18, 1 << 20
+WIDTH, GRAM, BLOCK, PIECE, PART, WINDOWS_AT_ONCE = 100, 32, 8 << 20, 1 << 20, 1 << 18, 1 << 19
 RUNS, ANCHORS, WINDOWS = 1, 2, 3
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -320,7 +320,7 @@ def cut(docs: DataFrame, width: int, make, schema) -> DataFrame:
             place = place[Digits(a, b).repeated(of_block(answers, WINDOWS + k, np.uint8, 1)[0])]
             np.add.at(edge, place, 1)
             np.add.at(edge, place + width, -1)
-        return make(load_table(folder, file_of(answers)), data, starts, sizes, np.cumsum(edge[:-1]) > 0)
+        return make(load_table(folder, file_of(answers)), data, starts, sizes, np.cumsum(edge[:-1], dtype=np.int32) > 0)
 
     return table.repartition(buckets, "block").groupBy("block").applyInArrow(finish, schema)
 
@@ -332,8 +332,12 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         begins = gone & ~np.concatenate([[False], gone[:-1]])
         some = starts[sizes > 0]
         begins[some] = gone[some]
-        sums, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
-        removed, spans = sums[starts + sizes] - sums[starts], spans[starts + sizes] - spans[starts]
+
+        def inside(marks):
+            sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(marks)])
+            return sums[starts + sizes] - sums[starts]
+
+        removed, spans = inside(gone), inside(begins)
         digests = [hashlib.sha256(data[a : a + n][~gone[a : a + n]] if m else data[a : a + n]).hexdigest() for a, n, m in zip(starts.tolist(), sizes.tolist(), removed.tolist(), strict=True)]
         k = rows.column("k").to_numpy()
         return pa.table([rows.column("c0"), pa.array(sizes[k]), pa.array(removed[k], pa.int64()), pa.array(spans[k], pa.int64()), pa.array([digests[x] for x in k.tolist()], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])

@@ -9,8 +9,8 @@ Queries and rows meet in blocks of bounded size: each task holds at most about R
 on k rows a query. A window over those ranks them.
 
 Defined results: scores are integer inner products of floor(scale * x). Vectors that are null, empty, or hold null or
-non-finite components take no part, nor do rows with a null vec_id. Rows that repeat a vec_id count once (the least
-vector). Only vectors of the query's length are its candidates. Ties go to the smaller vec_id. An empty table gives no rows.
+non-finite components take no part, nor do rows with a null vec_id. Rows that repeat a vec_id are candidates each, but
+for queries of their own vec_id; where a query's vec_id repeats, its k rows are the best over all its vectors. Only vectors of the query's length are its candidates. Ties go to the smaller vec_id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -103,11 +103,11 @@ def meet(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
 def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by every; vectors: vec_id, embedding."""
     ok = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(F.col("vec_id").isNotNull() & ok).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
+    rows = vectors.where(F.col("vec_id").isNotNull() & ok).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     n, m = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     parts, groups = max(1, -(-n // ROWS)), max(1, -(-m // QUERIES))
     rows = rows.withColumn("d", F.size("embedding"))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int")  # noqa: E731 - rows of one id are dealt, too
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.where(F.col("vec_id") % every == 0).select("*", block(groups).alias("q"), each(parts).alias("r"))
     right = rows.select("*", block(parts).alias("r"), each(groups).alias("q"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfurrow.llm.common import by_value, discard, fold, isotonic, training_labels, written
+from pixelfurrow.llm.common import Shared, by_value, discard, fold, isotonic, training_labels, written
 from pixelfurrow.llm.ngram_join import grouped
 
 LIMIT, PRIOR, Z, LEAST, DRIFT = 40_000, 0.15, 4.0, 1.5, 0.1
@@ -150,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         (1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("var"),
     )
     model.lexicon = {bytes(r.word): round(r.odds, 3) for r in odds.where((F.col("odds") > Z * F.sqrt("var")) & (F.col("odds") > LEAST)).collect()}
-    shared = spark.sparkContext.broadcast(model)
+    shared = Shared(spark, model)
 
     def scan(batches):
         for batch in batches:
@@ -177,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, toxic_sum, score, and the significant passages (nats, first word, last word) of each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def scan(batches):
         model = shared.value

@@ -33,13 +33,13 @@ def prose(r, n, words):
 def test_topk(spark):
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(300)]
-    rows += [(i, rows[5][1]) for i in range(300, 340)] + [(7, rows[7][1]), (500, None), (501, [float("nan")] * 8), (502, [1.0, None] * 4), (503, []), (None, [1.0] * 8), (520, [1.0, 2.0])]
+    rows += [(i, rows[5][1]) for i in range(300, 340)] + [(7, [9.0] * 8), (20, [-9.0] * 8), (500, None), (501, [float("nan")] * 8), (502, [1.0, None] * 4), (503, []), (None, [1.0] * 8), (520, [1.0, 2.0])]
     out = sorted(tuple(x) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
-    m = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows[:340]}
+    m = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows[:342]]
     expected = []
-    for q in m:
+    for q in range(0, 340, 20):
         if q % 20 == 0:
-            best = sorted((-int(m[q] @ m[i]), i) for i in m if i != q)[:20]
+            best = sorted((-int(v @ w), i) for j, v in m if j == q for i, w in m if i != q)[:20]
             expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert out == sorted(expected)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
@@ -436,6 +436,18 @@ def test_wavelet_ids_of_added_tokens(spark):
     assert {49406, 49407} <= {x for t in texts for x in np.frombuffer(own.ids(t), np.uint32).tolist()}
 
 
+def test_decontamination_of_repeated_text_and_rows_without_id(spark, tmp_path):
+    item = ("abcdefg hi" * 200)[:2000]
+    bench = spark.createDataFrame([(1, item), (2, "the quick brown fox jumps over the lazy dog again and again")], "item_id long, text string")
+    rows = [(1, item * 10), (None, "so the quick brown fox jumps over a lazy dog again and again"), (None, "clean"), (3, "abcdefg hi" * 150), (4, None)]
+    out = {(x.doc_id, x.item_id, x.edits) for x in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    assert out == {(1, 1, 0), (None, 2, 3)}
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = decontaminate.stage(spark, frame(spark, rows), str(tmp_path))
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted([(x.doc_id, x.text) for x in kept.collect()], key=str) == sorted([(None, "clean"), (3, "abcdefg hi" * 150), (4, None)], key=str)
+
+
 def test_decontamination_of_short_items(spark):
     item = "abcdefghijklmnopqrst"  # 20 characters; 2 edits leave no 8 of them untouched
     edited = item[:7] + "#" + item[8:14] + "#" + item[15:]
