@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from pixelfurrow.plans.registry import ORACLE_SQL, QUERIES
+from pixelfurrow.plans.extended import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
