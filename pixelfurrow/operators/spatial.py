@@ -33,16 +33,6 @@ def nearest_pixel(points: DataFrame, pixels: DataFrame, height: int, width: int)
     return at.join(pixels, ["row", "col"])
 
 
-def focal(pixels: DataFrame, radius: float, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
-    """Median and mean of the pixels within radius of each pixel, by date and band; for small footprints."""
-    spark, kx, ky = pixels.sparkSession, int(radius / dx), int(radius / dy)
-    steps = [(r, c) for r in range(-ky, ky + 1) for c in range(-kx, kx + 1) if (r * dy) ** 2 + (c * dx) ** 2 <= radius * radius]
-    offsets = F.broadcast(spark.createDataFrame(steps, "dr int, dc int"))  # as large as the footprint
-    spread = pixels.join(offsets).select("date", "band", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "value")
-    around = spread.groupBy("date", "band", "row", "col").agg(F.median("value").alias("median"), F.avg("value").alias("mean"), F.count("*").alias("n"))
-    return around.join(pixels.select("date", "band", "row", "col"), ["date", "band", "row", "col"], "left_semi")
-
-
 def overlaps(points: DataFrame, radius: float) -> DataFrame:
     """Pairs of points whose circles overlap: i < j, distance, area, share of a circle. A self-join on bins."""
     size = 2 * radius
@@ -62,13 +52,23 @@ def band_weights(points: DataFrame, reach: float) -> DataFrame:
     return near.select("i", "j").union(near.select(F.col("j"), F.col("i")))
 
 
-def knn_weights(points: DataFrame, k: int) -> DataFrame:
-    """(i, j) with j among i's k nearest (ties to the smaller id), made symmetric. Points are few field samples, in one block."""
+def knn_weights(points: DataFrame, k: int, size: float = 8.0) -> DataFrame:
+    """(i, j) with j among i's k nearest (ties to the smaller id), made symmetric.
+
+    Points meet in bins of that size and the eight around, where all points nearer than size are found. A point that has k
+    of them is done; the others, few where size suits the points, meet all points, which are broadcast then."""
     p = points.select(F.col("sample_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"))
-    q = F.broadcast(points.select(F.col("sample_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")))
+    q = points.select(F.col("sample_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
     d = (F.col("xi") - F.col("xj")) ** 2 + (F.col("yi") - F.col("yj")) ** 2
-    near = p.join(q, F.col("i") != F.col("j")).withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(d, "j"))).where(F.col("k") <= k)
-    return near.select("i", "j").union(near.select(F.col("j"), F.col("i"))).distinct()
+    around, bins = F.expr("explode(array(-1, 0, 1))"), lambda t, a, b: t.withColumn("bx", F.floor(F.col(a) / size)).withColumn("by", F.floor(F.col(b) / size))
+    spread = bins(q, "xj", "yj").withColumn("sx", around).withColumn("sy", around).withColumn("bx", F.col("bx") + F.col("sx")).withColumn("by", F.col("by") + F.col("sy"))
+    close = bins(p, "xi", "yi").join(spread, ["bx", "by"]).where(F.col("i") != F.col("j")).withColumn("d", d).where(F.col("d") < size * size)
+    place = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
+    near = close.withColumn("k", place).where(F.col("k") <= k).select("i", "j")
+    done = near.groupBy("i").agg(F.count("*").alias("c")).where(F.col("c") >= k).select("i")
+    rest = p.join(done, "i", "left_anti").join(q, F.col("i") != F.col("j")).withColumn("d", d).withColumn("k", place).where(F.col("k") <= k).select("i", "j")
+    both = near.join(done, "i", "left_semi").union(rest)
+    return both.union(both.select("j", "i")).distinct()
 
 
 def moran(values: DataFrame, weights: DataFrame) -> DataFrame:

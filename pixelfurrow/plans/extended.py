@@ -17,7 +17,7 @@ from pixelfurrow.operators import strict as C
 from pixelfurrow.plans.registry import HASH, INDEX_SQL, LONG, NUMBERED, ORACLE_SQL, OVERLAP, QUERIES, RANK, numbered, query, rounded, sd, targets_long
 from pixelfurrow.sinks import files as sink
 from pixelfurrow.sources import files as source
-from pixelfurrow.sources.views import feature_long, pixel_long, samples, table
+from pixelfurrow.sources.views import feature_long, pixel_long, points, samples, table
 
 DATES, RADII = ["0418", "0510"], [0.0, 1.0, 4.0]
 
@@ -53,7 +53,7 @@ ZONES = f"""
 def zones(spark, d):
     """Every sample, date, band and radius, empty buffers too."""
     height = 1 << 40  # samples lie inside the raster, so rows need no upper clamp
-    return R.zonal_table(samples(spark, d), pixel_long(spark, d), RADII, DATES, [1, 2, 3, 4, 5, 6], height, 50)
+    return R.zonal_table(points(spark, d), pixel_long(spark, d), RADII, DATES, [1, 2, 3, 4, 5, 6], height, 50)
 
 
 @query(ZONES + f"SELECT sample_id, date, band, radius, {fixed(SEVEN)}, valid_count FROM zones")
@@ -286,7 +286,7 @@ def image_metadata(spark, d):
 @query(OVERLAP + ", touching AS (SELECT i AS s, area FROM overlap UNION ALL SELECT j, area FROM overlap), t AS (SELECT s, count(*) AS neighbours, max(area) / (pi() * 9) AS largest FROM touching GROUP BY 1), a AS (SELECT count(*) AS n FROM samples) SELECT any_value(a.n) AS samples, count(t.s) AS overlapping, round(count(t.s) / any_value(a.n), 6) AS fraction, round(avg(t.largest), 6) AS mean_largest, max(t.neighbours) AS most_neighbours, CASE WHEN count(t.s) / any_value(a.n) > 0.2 THEN 'high' WHEN count(t.s) > 0 THEN 'moderate' ELSE 'low' END AS risk FROM a LEFT JOIN t ON true")
 def scale_audit(spark, d):
     """How buffers of radius 3 overlap, and the risk of a random split."""
-    o = S.overlaps(samples(spark, d), 3.0)
+    o = S.overlaps(points(spark, d), 3.0)
     t = o.select(F.col("i").alias("s"), "fraction").union(o.select("j", "fraction")).groupBy("s").agg(F.count("*").alias("neighbours"), F.max("fraction").alias("largest"))
     n = F.broadcast(table(spark, d, "supplier").agg(F.count("*").alias("samples")))
     a = t.agg(F.count("*").alias("overlapping"), F.avg("largest").alias("mean_largest"), F.max("neighbours").alias("most_neighbours")).crossJoin(n)
@@ -318,12 +318,12 @@ GROUPS = "(floor(x / 25) * 2 + floor(y / 20) % 2)::BIGINT"
 @query(f"SELECT {GROUPS} AS grp, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, round(avg(t_idx), 6) AS mean, round(stddev_samp(t_idx), 6) AS std, round(min(t_idx), 6) AS min, round(max(t_idx), 6) AS max FROM samples GROUP BY 1")
 def spatial_group_summary(spark, d):
     g = F.floor(F.col("x") / 25) * 2 + F.floor(F.col("y") / 20) % 2
-    return rounded(samples(spark, d).groupBy(g.alias("grp")).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.avg("t_idx").alias("mean"), F.stddev_samp("t_idx").alias("std"), F.min("t_idx").alias("min"), F.max("t_idx").alias("max")))
+    return rounded(points(spark, d).groupBy(g.alias("grp")).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.avg("t_idx").alias("mean"), F.stddev_samp("t_idx").alias("std"), F.min("t_idx").alias("min"), F.max("t_idx").alias("max")))
 
 
 @query(OVERLAP + ", s AS (SELECT i, j, i % 5 <> j % 5 AS across FROM overlap) SELECT count(*) AS pairs, count(*) FILTER (WHERE across) AS across_pairs, (SELECT count(*) FROM (SELECT i FROM s UNION SELECT j FROM s)) AS touched, (SELECT count(*) FROM (SELECT i FROM s WHERE across UNION SELECT j FROM s WHERE across)) AS across_touched FROM s")
 def overlap_summary(spark, d):
-    o = S.overlaps(samples(spark, d), 3.0).withColumn("across", F.col("i") % 5 != F.col("j") % 5)
+    o = S.overlaps(points(spark, d), 3.0).withColumn("across", F.col("i") % 5 != F.col("j") % 5)
     ends = o.select("across", F.explode(F.array("i", "j")).alias("s"))
     touched = ends.agg(F.count_distinct("s").alias("touched"), F.count_distinct(F.when(F.col("across"), F.col("s"))).alias("across_touched"))
     return o.agg(F.count("*").alias("pairs"), F.count_if("across").alias("across_pairs")).crossJoin(touched)
@@ -389,7 +389,7 @@ def top_feature_list(spark, d):
 @query(", n AS (SELECT count(*) AS n, min(t_idx) AS lo, max(t_idx) AS hi FROM samples), k AS (SELECT *, least(12, greatest(4, n // 3)) AS third, least(12, greatest(5, floor(sqrt(n))::BIGINT)) AS root FROM n) SELECT rule, bins, least(bins - 1, floor((t_idx - lo) / (hi - lo) * bins))::BIGINT AS bin, count(*) AS n FROM (SELECT t_idx, lo, hi, unnest(['third', 'root']) AS rule, unnest([third, root]) AS bins FROM samples, k) GROUP BY ALL")
 def histogram_rules(spark, d):
     """Equal bins by either rule, the last one closed."""
-    s = samples(spark, d)
+    s = points(spark, d)
     b = s.agg(F.count("*").alias("c"), F.min("t_idx").alias("lo"), F.max("t_idx").alias("hi"))
     third, root = F.least(F.lit(12), F.greatest(F.lit(4), F.floor(F.col("c") / 3))), F.least(F.lit(12), F.greatest(F.lit(5), F.floor(F.sqrt("c"))))
     rows = s.crossJoin(F.broadcast(b)).select("t_idx", "lo", "hi", F.explode(F.create_map(F.lit("third"), third, F.lit("root"), root)).alias("rule", "bins"))
@@ -493,7 +493,7 @@ KNN = ", knn AS (SELECT a.sample_id AS i, b.sample_id AS j FROM samples a JOIN s
 @query(KNN + f", r AS (SELECT row_number() OVER (ORDER BY sample_id) - 1 AS i, sample_id AS id, t_idx - (SELECT avg(t_idx) FROM samples) AS z FROM samples), g AS (SELECT draw, i, row_number() OVER (PARTITION BY draw ORDER BY {HASH}, i) - 1 AS source FROM r, range(1, 100) t(draw)), v AS (SELECT draw, x.id, y.z FROM g JOIN r x ON x.i = g.i JOIN r y ON y.i = g.source UNION ALL SELECT 0, id, z FROM r), s AS (SELECT a.draw, sum(a.z * b.z) / count(*) / (SELECT avg(z * z) FROM r) AS m FROM w JOIN v a ON a.id = w.i JOIN v b ON b.id = w.j AND b.draw = a.draw GROUP BY 1), o AS (SELECT m AS o, -1.0::DOUBLE / ((SELECT count(*) FROM r) - 1) AS e FROM s WHERE draw = 0) SELECT round(any_value(o), 6) AS moran_i, round((1.0 + count(*) FILTER (WHERE m >= o - 1e-12)) / (1 + count(*)), 6) AS p_greater, round((1.0 + count(*) FILTER (WHERE abs(m - e) >= abs(o - e) - 1e-12)) / (1 + count(*)), 6) AS p_two_sided FROM s, o WHERE draw > 0")
 def moran_permutation(spark, d):
     """Moran's I of 99 permutations, one-sided and two-sided."""
-    s = samples(spark, d)
+    s = points(spark, d)
     mean = F.broadcast(s.agg(F.avg("t_idx").alias("m")))
     r = s.crossJoin(mean).select((F.row_number().over(Window.orderBy("sample_id")) - 1).alias("i"), F.col("sample_id").alias("id"), (F.col("t_idx") - F.col("m")).alias("z"))
     g = T.permutations(r, 99).join(r.select("i", "id"), "i").join(r.select(F.col("i").alias("source"), "z"), "source").select("draw", "id", "z").union(r.select(F.lit(0), "id", "z"))
@@ -512,7 +512,7 @@ BATTERY = ["t_idx", "x", "y"]
 @query(KNN + ", band AS (SELECT a.sample_id AS i, b.sample_id AS j FROM samples a JOIN samples b ON a.sample_id <> b.sample_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 5), ws AS (SELECT 'knn' AS weights, * FROM w UNION ALL SELECT 'band', * FROM band), v AS (SELECT sample_id, unnest(['t_idx', 'x', 'y']) AS variable, unnest([t_idx, x, y]) AS v FROM samples), z AS (SELECT variable, sample_id, v - avg(v) OVER (PARTITION BY variable) AS z FROM v), sq AS (SELECT variable, avg(z * z) AS s2, count(*) AS n FROM z GROUP BY 1) SELECT weights, a.variable, any_value(n) AS n, count(*) AS links, round(sum(a.z * b.z) / count(*) / any_value(s2), 6) AS moran_i, round(-1.0 / (any_value(n) - 1), 6) AS expected_i FROM ws JOIN z a ON a.sample_id = i JOIN z b ON b.sample_id = j AND a.variable = b.variable JOIN sq ON sq.variable = a.variable GROUP BY weights, a.variable")
 def moran_battery(spark, d):
     """Every variable under both weightings."""
-    s, out = samples(spark, d), None
+    s, out = points(spark, d), None
     for name, w in (("knn", S.knn_weights(s, 4)), ("band", S.band_weights(s, 5.0))):
         for v in BATTERY:
             one = S.moran(s.select("sample_id", F.col(v).alias("v")), w).select(F.lit(name).alias("weights"), F.lit(v).alias("variable"), "n", "links", "moran_i", "expected_i")
@@ -530,7 +530,7 @@ def dummy_baseline(spark, d):
 @query(", n AS (SELECT sample_id, row_number() OVER (ORDER BY (sample_id * 7919) % 10007, sample_id) - 1 AS pl, count(*) OVER () AS n FROM samples) SELECT sample_id, CASE WHEN n <= 40 THEN pl ELSE pl % 5 END AS fold FROM n")
 def cv_folds(spark, d):
     """Every sample alone where there are few, else five shuffled folds."""
-    s = samples(spark, d).select("sample_id", (F.row_number().over(Window.orderBy((F.col("sample_id") * 7919) % 10007, "sample_id")) - 1).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"))
+    s = points(spark, d).select("sample_id", (F.row_number().over(Window.orderBy((F.col("sample_id") * 7919) % 10007, "sample_id")) - 1).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"))
     return C.folds(s, "at", "n").select("sample_id", "fold")
 
 
@@ -577,7 +577,7 @@ MAP = """
 def inferred(spark, d):
     """A line fitted to the samples' buffers, over all cells of the raster."""
     p = pixel_long(spark, d).where("date = '0510' and band = 1")
-    s = samples(spark, d)
+    s = points(spark, d)
     train = S.circle_join(s.select("sample_id", "x", "y", "t_idx"), p, 3.0).groupBy("sample_id", "t_idx").agg(F.avg("value").alias("v")).select((F.col("t_idx") / 100).alias("y"), "v")
     fit = train.agg(F.regr_slope("y", "v").alias("c"), F.regr_intercept("y", "v").alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     none = F.lit(None).cast("double")

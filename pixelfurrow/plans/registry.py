@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from pixelfurrow.functions import expressions as X
 from pixelfurrow.operators import models as M
+from pixelfurrow.operators import raster as R
 from pixelfurrow.operators import spatial as S
 from pixelfurrow.operators import stats as T
-from pixelfurrow.sources.views import SQL, feature_long, pixel_long, samples, table
+from pixelfurrow.sources.views import SQL, feature_long, pixel_long, points, samples, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,17 +49,17 @@ def sd(a: str, b: str) -> str:
 
 @query(ZONAL + "SELECT sample_id, date, band, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std, min, max, round(p25, 6) AS p25, round(p75, 6) AS p75, valid_count FROM zonal")
 def zonal_statistics(spark, d):
-    return rounded(S.zonal(samples(spark, d), pixel_long(spark, d), 3.0))
+    return rounded(S.zonal(points(spark, d), pixel_long(spark, d), 3.0))
 
 
 @query("SELECT sample_id, date, band, round(value, 6) AS value FROM samples JOIN pixel_long ON col = least(49, floor(x)) AND row = floor(y)")
 def nearest_pixel(spark, d):
-    s, height = samples(spark, d), table(spark, d, "part").count() // 50
-    return rounded(S.nearest_pixel(s, pixel_long(spark, d), height, 50).select("sample_id", "date", "band", "value"))
+    lowest = 1 << 40  # points lie inside the raster, so its height needn't be counted first
+    return rounded(S.nearest_pixel(points(spark, d), pixel_long(spark, d), lowest, 50).select("sample_id", "date", "band", "value"))
 
 
 def bands(spark, d):
-    z = S.zonal(samples(spark, d), pixel_long(spark, d), 3.0).where("band <= 6")
+    z = S.zonal(points(spark, d), pixel_long(spark, d), 3.0).where("band <= 6")
     return z.groupBy("sample_id", "date").pivot("band", [1, 2, 3, 4, 5, 6]).agg(F.first("median"))
 
 
@@ -77,7 +78,7 @@ def spectral_indices(spark, d):
 
 @query(ZONAL + f", c AS (SELECT a.sample_id, a.band, a.median AS april, m.median AS may FROM zonal a JOIN zonal m ON a.sample_id = m.sample_id AND a.band = m.band AND a.date = '0418' AND m.date = '0510') SELECT sample_id, band, round(may - april, 6) AS diff, round({sd('may', 'april')}, 6) AS ratio, round({sd('may - april', 'april')}, 6) AS rel FROM c")
 def temporal_change(spark, d):
-    z = S.zonal(samples(spark, d), pixel_long(spark, d), 3.0).groupBy("sample_id", "band").pivot("date", ["0418", "0510"]).agg(F.first("median"))
+    z = S.zonal(points(spark, d), pixel_long(spark, d), 3.0).groupBy("sample_id", "band").pivot("date", ["0418", "0510"]).agg(F.first("median"))
     a, m = F.col("0418"), F.col("0510")
     return rounded(z.where(a.isNotNull() & m.isNotNull()).select("sample_id", "band", (m - a).alias("diff"), X.safe_divide(m, a).alias("ratio"), X.safe_divide(m - a, a).alias("rel")))
 
@@ -166,12 +167,12 @@ OVERLAP = f", pairs AS (SELECT a.sample_id AS i, b.sample_id AS j, sqrt((a.x - b
 
 @query(OVERLAP + "SELECT i, j, round(d, 6) AS distance, round(area, 6) AS area, round(area / (pi() * 9), 6) AS fraction FROM overlap")
 def overlap_pairs(spark, d):
-    return rounded(S.overlaps(samples(spark, d), 3.0))
+    return rounded(S.overlaps(points(spark, d), 3.0))
 
 
 @query(OVERLAP + ", c AS (SELECT i % 5 AS fold, i AS s, area FROM overlap WHERE i % 5 <> j % 5 UNION ALL SELECT j % 5, j, area FROM overlap WHERE i % 5 <> j % 5) SELECT fold, count(*) AS pairs, count(DISTINCT s) AS touched, round(max(area) / (pi() * 9), 6) AS max_fraction, round(avg(area) / (pi() * 9), 6) AS mean_fraction FROM c GROUP BY 1")
 def overlap_by_fold(spark, d):
-    o = S.overlaps(samples(spark, d), 3.0).where(F.col("i") % 5 != F.col("j") % 5)
+    o = S.overlaps(points(spark, d), 3.0).where(F.col("i") % 5 != F.col("j") % 5)
     c = o.select((F.col("i") % 5).alias("fold"), F.col("i").alias("s"), "fraction").union(o.select(F.col("j") % 5, F.col("j"), "fraction"))
     return rounded(c.groupBy("fold").agg(F.count("*").alias("pairs"), F.count_distinct("s").alias("touched"), F.max("fraction").alias("max_fraction"), F.avg("fraction").alias("mean_fraction")))
 
@@ -180,17 +181,17 @@ MORAN = ", v AS (SELECT sample_id, t_idx AS v FROM samples), z AS (SELECT sample
 
 
 def target_values(spark, d):
-    return samples(spark, d).select("sample_id", F.col("t_idx").alias("v"))
+    return points(spark, d).select("sample_id", F.col("t_idx").alias("v"))
 
 
 @query(", n AS (SELECT a.sample_id AS i, b.sample_id AS j FROM samples a JOIN samples b ON a.sample_id <> b.sample_id QUALIFY row_number() OVER (PARTITION BY a.sample_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.sample_id) <= 4), w AS (SELECT i, j FROM n UNION SELECT j, i FROM n)" + MORAN)
 def moran_knn(spark, d):
-    return rounded(S.moran(target_values(spark, d), S.knn_weights(samples(spark, d), 4)))
+    return rounded(S.moran(target_values(spark, d), S.knn_weights(points(spark, d), 4)))
 
 
 @query(", w AS (SELECT a.sample_id AS i, b.sample_id AS j FROM samples a JOIN samples b ON a.sample_id <> b.sample_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 5)" + MORAN)
 def moran_band(spark, d):
-    return rounded(S.moran(target_values(spark, d), S.band_weights(samples(spark, d), 5.0)))
+    return rounded(S.moran(target_values(spark, d), S.band_weights(points(spark, d), 5.0)))
 
 
 FOCAL = ", o AS (SELECT dr, dc FROM range(-1, 2) a(dr), range(-1, 2) b(dc) WHERE dr * dr + dc * dc <= 1), f AS (SELECT date, band, row + dr AS row, col + dc AS col, median(value) AS median, avg(value) AS mean, count(*) AS n FROM pixel_long, o GROUP BY ALL) "
@@ -198,15 +199,18 @@ FOCAL = ", o AS (SELECT dr, dc FROM range(-1, 2) a(dr), range(-1, 2) b(dc) WHERE
 
 @query(FOCAL + "SELECT f.date, f.band, f.row, f.col, round(f.median, 6) AS median, round(f.mean, 6) AS mean, f.n FROM f SEMI JOIN pixel_long p ON f.date = p.date AND f.band = p.band AND f.row = p.row AND f.col = p.col")
 def focal_statistics(spark, d):
-    return rounded(S.focal(pixel_long(spark, d), 1.0))
+    p, at = pixel_long(spark, d), ["date", "band", "row", "col"]
+    f = R.focal_table(p, 1.0).select(*at, "median", "mean", F.col("valid_count").alias("n"))
+    return rounded(f.join(p.select(*at), at, "left_semi"))
 
 
 @query(FOCAL + f"SELECT g.date, g.row, g.col, round({sd('g.median - r.median', 'g.median + r.median')}, 6) AS value FROM f g JOIN f r ON g.date = r.date AND g.row = r.row AND g.col = r.col AND g.band = 2 AND r.band = 3 JOIN pixel_long p ON p.date = g.date AND p.row = g.row AND p.col = g.col AND p.band = 2 JOIN pixel_long q ON q.date = g.date AND q.row = g.row AND q.col = g.col AND q.band = 3 SEMI JOIN pixel_long m ON m.date = g.date AND m.row = g.row AND m.col = g.col AND m.band = 7")
 def sensitive_index_map(spark, d):
     p = pixel_long(spark, d)
-    f = S.focal(p.where("band in (2, 3)"), 1.0).groupBy("date", "row", "col").pivot("band", [2, 3]).agg(F.first("median"))
+    f = R.focal_table(p.where("band in (2, 3)"), 1.0).groupBy("date", "row", "col").pivot("band", [2, 3]).agg(F.first("median"))
     g, r = F.col("2"), F.col("3")
-    f = f.where(g.isNotNull() & r.isNotNull()).join(p.where("band = 7").select("date", "row", "col"), ["date", "row", "col"], "left_semi")
+    every = p.where("band in (2, 3, 7)").groupBy("date", "row", "col").agg(F.count("*").alias("c")).where("c = 3")  # both bands and the mask have the pixel
+    f = f.where(g.isNotNull() & r.isNotNull()).join(every, ["date", "row", "col"], "left_semi")
     return rounded(f.select("date", "row", "col", X.safe_divide(g - r, g + r).alias("value")))
 
 

@@ -19,22 +19,24 @@ def pixel_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(*key).agg((F.sum("l_quantity") / F.count("*")).alias("value"))
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_id, x, y, t_num, t_rat, t_idx: field points with nullable targets."""
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, x, y, t_idx: the field points without the targets that are counted from lines, so that these aren't read."""
     rows = table(spark, sf_dir, "part").agg((F.count("*") / WIDTH).cast("long").alias("n_rows"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("num"), F.count("*").alias("lines"))
-    s = table(spark, sf_dir, "supplier").join(lines, F.col("s_suppkey") == F.col("l_suppkey"), "left").crossJoin(F.broadcast(rows))
-    odd = F.col("s_suppkey") % 2 != 0
-    return s.select(
+    return table(spark, sf_dir, "supplier").crossJoin(F.broadcast(rows)).select(
         (F.col("s_suppkey") + 1).alias("sample_id"),
         ((F.col("s_suppkey") * 37) % WIDTH + 0.25).alias("x"),
         ((F.col("s_suppkey") * 13) % F.col("n_rows") + 0.75).alias("y"),
-        F.when(odd, F.coalesce("num", F.lit(0)).cast("double")).alias("t_num"),
-        F.when(odd & (F.col("lines") > 0), 100.0 * F.col("num") / F.col("lines")).alias("t_rat"),
         F.col("s_acctbal").alias("t_idx"),
     )
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, x, y, t_num, t_rat, t_idx: field points with nullable targets."""
+    lines = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") + 1).alias("sample_id")).agg(F.count_if(F.col("l_returnflag") == "R").alias("num"), F.count("*").alias("lines"))
+    s, odd = points(spark, sf_dir).join(lines, "sample_id", "left"), F.col("sample_id") % 2 == 0
+    return s.select("sample_id", "x", "y", F.when(odd, F.coalesce("num", F.lit(0)).cast("double")).alias("t_num"), F.when(odd & (F.col("lines") > 0), 100.0 * F.col("num") / F.col("lines")).alias("t_rat"), "t_idx")
+
+
 def feature_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample, feature, value, label: one row for each component of the embeddings."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), "label", F.posexplode("embedding").alias("feature", "v")).select("sample", "feature", F.col("v").cast("double").alias("value"), "label")
