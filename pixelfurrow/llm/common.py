@@ -123,6 +123,15 @@ def kept(key, make):
     return store[key]
 
 
+def forget() -> None:
+    """Drop this Python worker's broadcast values, which a later stage has no use for."""
+    import pyspark
+
+    store = pyspark.__dict__.setdefault("_pixelfurrow_kept", {})
+    for key in [k for k in store if k[0] == "shared"]:
+        del store[key]
+
+
 class Shared:
     """A broadcast of a value whole, with the classes it is of, so that executors need no copy of the repository."""
 
@@ -131,7 +140,13 @@ class Shared:
 
     @property
     def value(self):
-        return kept(("shared", self.key), lambda: cloudpickle.loads(self.sent.value))
+        return kept(("shared", self.key), self._load)
+
+    def _load(self):
+        forget()
+        out = cloudpickle.loads(self.sent.value)
+        self.sent.__dict__.pop("_value", None)  # the bytes needn't stay beside the value
+        return out
 
 
 def isotonic(score: np.ndarray, label: np.ndarray, bins: int = 2000) -> tuple[np.ndarray, np.ndarray]:

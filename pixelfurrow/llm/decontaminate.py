@@ -230,10 +230,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = SHAR
         shared = Shared(spark, indexes(block, q, share))
 
         def rows(batches, shared=shared):
+            own = shared.value
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for a, b in text_blocks(texts):
-                    found = [(ids[a + d], *rest) for d, *rest in best_matches(shared.value, texts[a:b])]
+                    found = [(ids[a + d], *rest) for d, *rest in best_matches(own, texts[a:b])]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "edits", "first", "last"])
 
         new = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
@@ -252,10 +253,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         shared = Shared(spark, indexes(block, Q, SHARE))
 
         def rows(batches, shared=shared):
+            own = shared.value
             for batch in batches:
                 texts, keep = batch.column(names.index("text")).to_pylist(), np.ones(batch.num_rows, bool)
                 for a, b in text_blocks(texts):
-                    for d, *_ in best_matches(shared.value, texts[a:b]):
+                    for d, *_ in best_matches(own, texts[a:b]):
                         keep[a + d] = False
                 yield batch.filter(pa.array(keep))
 

@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelfurrow.llm.common import Numbers, by_value, discard, fresh_path, written
+from pixelfurrow.llm.common import Numbers, blocks, by_value, discard, forget, fresh_path, written
 from pixelfurrow.llm.components import components
-from pixelfurrow.llm.exchange import FILE, PARCELS, buckets_of, file_row, load_table, opened, parcels, store_table
+from pixelfurrow.llm.exchange import FILE, PARCELS, buckets_of, file_row, load_table, opened, packed_keys, parcels, store_table, unpacked_keys
 
 DIMENSIONS, FOLDED, CHUNK, NODE, SMALL, LEAST, BLOCK = 512, 64, 1024, 16, 500_000, 16, 8 << 20
 ODDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9]
@@ -149,12 +149,23 @@ SKETCH = "block long, part int, doc_id long, n long, sid long"
 FOUND = "kind int, block long, part int, key long, name string"
 
 
+def packed_set(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes, as differences: two sets of 20,000 agree in one by chance once in a million pairs."""
+    return packed_keys(hashes >> np.uint64(16))
+
+
+def common(a: bytes, b: bytes) -> int:
+    """How many hashes two packed sets share."""
+    return len(np.intersect1d(unpacked_keys(a), unpacked_keys(b)))
+
+
 def sketch_rows(folder: str, k: int, link: Link, buckets: int):
     """Writes a file of each block's documents: part (the set's number in the block), doc_id, n, sid; sends the keys of its
     distinct sets with their numbers. A bucket tells keys apart by about 40 bits."""
     lost = np.uint64(max(0, 24 - max(1, buckets).bit_length()))
 
     def rows(batches):
+        forget()
         memo, block, size, held = {}, TaskContext.get().partitionId() << 32, 0, []
 
         def flush():
@@ -220,8 +231,10 @@ def set_rows(k: int):
     def rows(batches):
         memo = {}
         for batch in batches:
-            sets = [shingles(t, k, memo) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([packed(count_vector(h)) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["sid", "n", "counts", "hashes"])
+            texts = batch.column(1).to_pylist()
+            for a, b in blocks(texts, 1 << 20):
+                sets = [shingles(t, k, memo) for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([packed(count_vector(h)) for h in sets], pa.binary()), pa.array([packed_set(h) for h in sets], pa.binary())], ["sid", "n", "counts", "hashes"])
 
     return rows
 
@@ -231,24 +244,24 @@ def verify_rows(link: Link):
 
     def rows(batches):
         for batch in batches:
-            u, v, packed_u, sets_u, packed_v, sets_v = (c.to_pylist() for c in batch.columns)
             out = [[], []]
-            for i in range(batch.num_rows):
-                cu, cv = unpacked(packed_u[i]), unpacked(packed_v[i])
-                a, b = int(cu.sum()), int(cv.sum())
-                if not link.linked(a, b, int(np.minimum(cu, cv).sum())):
-                    continue
-                hu, hv = np.frombuffer(sets_u[i], np.uint64), np.frombuffer(sets_v[i], np.uint64)
-                if link.linked(a, b, len(np.intersect1d(hu, hv, assume_unique=True))):
-                    out[0].append(u[i])
-                    out[1].append(v[i])
+            for first in range(0, batch.num_rows, 64):
+                for u, v, packed_u, set_u, packed_v, set_v in zip(*(c.slice(first, 64).to_pylist() for c in batch.columns), strict=True):
+                    cu, cv = unpacked(packed_u), unpacked(packed_v)
+                    a, b = int(cu.sum()), int(cv.sum())
+                    if link.linked(a, b, int(np.minimum(cu, cv).sum())) and link.linked(a, b, common(set_u, set_v)):
+                        out[0].append(u)
+                        out[1].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["u", "v"])
 
     return rows
 
 
 def verified(pairs: DataFrame, sets: DataFrame, link: Link) -> DataFrame:
-    side = lambda x: sets.select(F.col("sid").alias(x), F.col("counts").alias(f"c{x}"), F.col("hashes").alias(f"h{x}"))
+    def side(x):  # only the sets that stand on that side are sent
+        wanted = pairs.select(F.col(x).alias("sid")).distinct()
+        return sets.join(wanted, "sid", "left_semi").select(F.col("sid").alias(x), F.col("counts").alias(f"c{x}"), F.col("hashes").alias(f"h{x}"))
+
     rows = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "cu", "hu", "cv", "hv")
     return rows.mapInArrow(verify_rows(link), "u long, v long")
 
@@ -359,7 +372,9 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     chosen = docs.join(F.broadcast(reps) if reps.count() <= SMALL else reps, "doc_id")
     chosen = chosen.select("doc_id", "text").union(docs.where("doc_id is null").select("doc_id", "text"))  # sets that no row with an id has
     sets = written(chosen.mapInArrow(set_rows(k), "sid long, n long, counts binary, hashes binary").dropDuplicates(["sid"]), "sets")
-    links = written(verified(members.where(F.col("sid") != F.col("u")).select("u", F.col("sid").alias("v")).distinct(), sets, link), "links")
+    stars = written(members.where(F.col("sid") != F.col("u")).select("u", F.col("sid").alias("v")).distinct(), "stars")
+    links = written(verified(stars, sets, link), "links")
+    discard(stars)
     roots = components(links)
     named = members.select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
     per = named.groupBy("key", "root").agg(F.count("*").alias("n"))
@@ -371,10 +386,10 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     least = split.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST).alias("least"))  # a set has no more keys than shingles
     met = every.union(minor).join(sets.select("sid", "counts").join(least, "sid"), "sid")
     met = met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "sid", "root", "whole", "counts", "least")
-    pairs = met.mapInArrow(tree_pairs(link), "u long, v long").distinct()
+    pairs = written(met.mapInArrow(tree_pairs(link), "u long, v long").distinct(), "pairs")
     more = written(verified(pairs, sets, link).union(links), "links")
     final = components(more)
-    discard(links, members, sets, reps)
+    discard(links, members, sets, reps, pairs)
     ids = sketch.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     ids = ids.join(final.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelfurrow.llm.common import by_value, column, fresh_path, written
+from pixelfurrow.llm.common import by_value, column, forget, fresh_path, written
 from pixelfurrow.llm.exchange import FILE, NAMES, PARCELS, buckets_of, file_of, file_row, in_order, load_table, of_block, opened, parcels, planes, replies, store_table, unplaned
 from pixelfurrow.llm.ngram_join import mixed
 
@@ -179,6 +179,7 @@ def block_rows(folder: str, width: int, buckets: int):
     """Writes a file of each block's rows and one of its bytes, and sends its runs' digits. Columns: row, doc, own, text; sorted by doc and own."""
 
     def rows(batches):
+        forget()
         held, texts, last, size, block = [], [], None, 0, TaskContext.get().partitionId() << 32
 
         def flush():
