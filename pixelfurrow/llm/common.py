@@ -33,18 +33,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Texts and sets take some KB a row, so Spark's 10,000 rows a batch would be held several times over on either side.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts lineage and survives the loss of executors. The shuffles that made
     it go with the job, as nothing reads them again."""
     spark = df.sparkSession
-    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP)
+    path, before = fresh_path(spark, name), {k: spark.conf.get(k) for k in (CLEANUP, BATCH)}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(BATCH_ROWS))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
@@ -132,11 +136,30 @@ def forget() -> None:
         del store[key]
 
 
+def _plain(value) -> tuple:
+    """value as classes by value and plain data, which a worker reads from the broadcast's file without holding its bytes too."""
+    if isinstance(value, list):
+        return "list", None, [_plain(v) for v in value]
+    return ("object", cloudpickle.dumps(type(value)), vars(value)) if type(value).__module__.startswith("pixelfurrow") else ("value", None, value)
+
+
+def _rebuilt(plain: tuple):
+    kind, of, state = plain
+    if kind == "list":
+        return [_rebuilt(v) for v in state]
+    if kind == "value":
+        return state
+    class_ = cloudpickle.loads(of)
+    out = class_.__new__(class_)
+    out.__dict__.update(state)
+    return out
+
+
 class Shared:
-    """A broadcast of a value whole, with the classes it is of, so that executors need no copy of the repository."""
+    """A broadcast of a value with the classes it is of, so that executors need no copy of the repository."""
 
     def __init__(self, spark: SparkSession, value):
-        self.key, self.sent = uuid.uuid4().hex, spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.key, self.sent = uuid.uuid4().hex, spark.sparkContext.broadcast(_plain(value))
 
     @property
     def value(self):
@@ -144,8 +167,8 @@ class Shared:
 
     def _load(self):
         forget()
-        out = cloudpickle.loads(self.sent.value)
-        self.sent.__dict__.pop("_value", None)  # the bytes needn't stay beside the value
+        out = _rebuilt(self.sent.value)
+        self.sent.__dict__.pop("_value", None)  # forget() is to free it
         return out
 
 
