@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -57,6 +58,35 @@ def test_topk_search_prunes():
     assert share < 0.9
 
 
+def test_topk_search_prunes_unrelated_components():
+    r = np.random.default_rng(1)
+    rows, ids = np.floor(r.normal(size=(6000, 64)) * 64), np.arange(6000)
+    seeds = topk.Seeds(pa.table({"vec_id": ids[:2000], "embedding": list(rows[:2000] / 64), "d": np.full(2000, 64)}))
+    x, x_ids, basis = seeds.of[64]
+    assert (x == rows[:2000]).all()
+    bar = topk.starting_bars(rows[:50], ids[:50], x, x_ids, 20)
+    q, s, found, share = topk.search(rows[:50], ids[:50], rows, ids, 20, basis, bar)
+    full = rows[:50] @ rows.T
+    for k in range(50):
+        best = sorted((-full[k, i], i) for i in range(6000) if i != k)[:20]
+        assert [(-s[j], found[j]) for j in np.flatnonzero(q == k)] == best
+    assert share < 0.2
+
+
+def test_topk_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 50)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "SEEDS", 60)
+    r = np.random.default_rng(4)
+    x = np.floor(r.normal(size=(400, 6)) * 3)  # many ties
+    out = sorted(tuple(v) for v in topk.top_k(spark.createDataFrame([(i, [float(c) / 64 for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect())
+    expected = []
+    for q in range(0, 400, 20):
+        best = sorted((-int(x[q] @ x[i]), i) for i in range(400) if i != q)[:20]
+        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert out == sorted(expected)
+
+
 def test_toxicity_segments_match_brute_force():
     r = random.Random(2)
     for _ in range(200):
