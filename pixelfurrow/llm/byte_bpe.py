@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelfurrow.llm.common import Numbers, by_value, fresh_path, kept
+from pixelfurrow.llm.common import Numbers, by_value, fresh_path, kept, releasing
 from pixelfurrow.llm.exchange import FILE, NAMES, PARCELS, buckets_of, file_of, file_row, load_table, packed_keys, planes, store_table, unpacked_keys, unplaned
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -186,8 +186,8 @@ OUT = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), (
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, ids: bool = True) -> DataFrame:
     """doc_id, ids (binary, unsigned 32-bit little endian; null if not asked for), n_tokens, ids_sha256 and decoded_sha256 of each row."""
     folder, buckets = fresh_path(docs.sparkSession, "bpe-blocks"), buckets_of(docs)
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(block_rows(folder, pattern, buckets), PARCELS)
-    back = sent.groupBy("kind", "bucket").applyInArrow(encode_words(vocabulary, pattern), PARCELS)
+    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(block_rows(folder, pattern, buckets)), PARCELS)
+    back = sent.groupBy("kind", "bucket").applyInArrow(releasing(encode_words(vocabulary, pattern)), PARCELS)
 
     def assemble(right: pa.Table) -> pa.Table:
         token = kept(("tokens", vocabulary), lambda: {i: b for b, i in ranks(vocabulary).items()})
@@ -209,7 +209,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public
                 column.append(x)
         return pa.table([left.column("doc_id")[0].values, *(pa.array(x, k) for x, k in zip(out, (pa.binary(), pa.int64(), pa.string(), pa.string()), strict=True))], OUT.names)
 
-    return back.repartition(buckets, "block").groupBy("block").applyInArrow(assemble, OUT)
+    return back.repartition(buckets, "block").groupBy("block").applyInArrow(releasing(assemble), OUT)
 
 
 def decoded(encodings: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfurrow.llm.common import Shared, by_value
+from pixelfurrow.llm.common import Shared, by_value, releasing
 
 Q, SHARE, BLOCK, PART, HITS = 8, 0.1, 4_000_000, 1 << 19, 1 << 20
 
@@ -237,7 +237,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = SHAR
                     found = [(ids[a + d], *rest) for d, *rest in best_matches(own, texts[a:b])]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "edits", "first", "last"])
 
-        new = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
+        new = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(rows), schema)
         out = new if out is None else out.union(new)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -261,7 +261,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                         keep[a + d] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(rows, docs.schema)
+        docs = docs.mapInArrow(releasing(rows), docs.schema)
     return docs
 
 

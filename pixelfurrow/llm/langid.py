@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfurrow.llm.common import Shared, blocks, by_value, fold
+from pixelfurrow.llm.common import Shared, blocks, by_value, fold, releasing
 
 ORDER = 3
 PAD = b"\0" * ORDER
@@ -136,7 +136,7 @@ def learn(docs: DataFrame, limit: int = 4000) -> Trees:
         return Trees({})
     share = spark.createDataFrame([(k, int(1_000_003 * min(1, limit / n))) for k, n in shares.items()], "lang string, share int")
     some = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_003)) < F.col("share"))
-    table = some.select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    table = some.select("lang", "text").mapInArrow(releasing(count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(table.column("lang").to_pylist(), object)
     grams, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
     for lang in dict.fromkeys(langs):
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
                 names = [trees.langs[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(low / size)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(predict), "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -193,7 +193,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                     kept.append(bool(t) and bool(trees.langs) and any(map(str.isalpha, t)) and bool(low < 8 * len(t.encode("utf-8", "surrogatepass"))))
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(releasing(keep), schema)
 
 
 by_value(__name__)

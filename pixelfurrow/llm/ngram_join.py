@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelfurrow.llm.common import Numbers, blocks, by_value, discard, forget, fresh_path, written
+from pixelfurrow.llm.common import Numbers, blocks, by_value, discard, forget, fresh_path, releasing, written
 from pixelfurrow.llm.components import components
 from pixelfurrow.llm.exchange import FILE, PARCELS, buckets_of, file_row, load_table, opened, packed_keys, parcels, store_table, unpacked_keys
 
@@ -263,7 +263,7 @@ def verified(pairs: DataFrame, sets: DataFrame, link: Link) -> DataFrame:
         return sets.join(wanted, "sid", "left_semi").select(F.col("sid").alias(x), F.col("counts").alias(f"c{x}"), F.col("hashes").alias(f"h{x}"))
 
     rows = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "cu", "hu", "cv", "hv")
-    return rows.mapInArrow(verify_rows(link), "u long, v long")
+    return rows.mapInArrow(releasing(verify_rows(link)), "u long, v long")
 
 
 class RTree:
@@ -352,9 +352,9 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark, link = docs.sparkSession, Link(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder, buckets = fresh_path(spark, "sketch"), buckets_of(docs)
-    sent = docs.mapInArrow(sketch_rows(folder, k, link, buckets), PARCELS)
-    found = written(sent.groupBy("kind", "bucket").applyInArrow(shared_keys, FOUND), "keys")
-    sketch = found.where(F.col("kind") == FILE).select("name").mapInArrow(loaded(folder), SKETCH)
+    sent = docs.mapInArrow(releasing(sketch_rows(folder, k, link, buckets)), PARCELS)
+    found = written(sent.groupBy("kind", "bucket").applyInArrow(releasing(shared_keys), FOUND), "keys")
+    sketch = found.where(F.col("kind") == FILE).select("name").mapInArrow(releasing(loaded(folder)), SKETCH)
     sketch = written(sketch, "sketch")
     parts = sketch.where("n > 0").select("block", "part", "sid").distinct()
     keyed = found.where(F.col("kind") == KEYS).join(parts, ["block", "part"]).select("sid", "key")
@@ -371,7 +371,7 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     reps = written(reps, "reps")
     chosen = docs.join(F.broadcast(reps) if reps.count() <= SMALL else reps, "doc_id")
     chosen = chosen.select("doc_id", "text").union(docs.where("doc_id is null").select("doc_id", "text"))  # sets that no row with an id has
-    sets = written(chosen.mapInArrow(set_rows(k), "sid long, n long, counts binary, hashes binary").dropDuplicates(["sid"]), "sets")
+    sets = written(chosen.mapInArrow(releasing(set_rows(k)), "sid long, n long, counts binary, hashes binary").dropDuplicates(["sid"]), "sets")
     stars = written(members.where(F.col("sid") != F.col("u")).select("u", F.col("sid").alias("v")).distinct(), "stars")
     links = written(verified(stars, sets, link), "links")
     discard(stars)
@@ -386,7 +386,7 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     least = split.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST).alias("least"))  # a set has no more keys than shingles
     met = every.union(minor).join(sets.select("sid", "counts").join(least, "sid"), "sid")
     met = met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "sid", "root", "whole", "counts", "least")
-    pairs = written(met.mapInArrow(tree_pairs(link), "u long, v long").distinct(), "pairs")
+    pairs = written(met.mapInArrow(releasing(tree_pairs(link)), "u long, v long").distinct(), "pairs")
     more = written(verified(pairs, sets, link).union(links), "links")
     final = components(more)
     discard(links, members, sets, reps, pairs)
@@ -426,7 +426,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     unclear = docs.where("doc_id is null")  # rows that an id doesn't tell apart
     if n:
         plain, unclear = plain.join(often, "doc_id", "left_anti"), unclear.union(docs.join(often, "doc_id", "left_semi").select(*names))
-    unclear = unclear.mapInArrow(with_set(k, names), T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType())]))
+    unclear = unclear.mapInArrow(releasing(with_set(k, names)), T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType())]))
     alone = F.col("doc_id").isNull() & (F.col("_set") == 0)
     keys = kept.select(F.col("doc_id").alias("_doc"), F.col("set_id").alias("_kept"))
     found = unclear.where(~alone).join(keys, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_set") == F.col("_kept")), "left_semi")

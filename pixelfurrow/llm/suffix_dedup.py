@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelfurrow.llm.common import by_value, column, forget, fresh_path, written
+from pixelfurrow.llm.common import by_value, column, forget, fresh_path, releasing, written
 from pixelfurrow.llm.exchange import FILE, NAMES, PARCELS, buckets_of, file_of, file_row, in_order, load_table, of_block, opened, parcels, planes, replies, store_table, unplaned
 from pixelfurrow.llm.ngram_join import mixed
 
@@ -303,10 +303,10 @@ def cut(docs: DataFrame, width: int, make, schema) -> DataFrame:
     folder, buckets = fresh_path(docs.sparkSession, "suffix-blocks"), buckets_of(docs)
     rows = docs.select(F.struct(*(column(n) for n in docs.columns if n != "text")).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "text")
     rows = rows.repartitionByRange(buckets, "doc", "own").sortWithinPartitions("doc", "own")
-    sent = rows.mapInArrow(block_rows(folder, width, buckets), PARCELS)
-    found = written(sent.groupBy("kind", "bucket").applyInArrow(first_pass, PARCELS), "runs")
-    sent = found.repartition(buckets, "block").groupBy("block").applyInArrow(second_pass(folder, width, 4 * buckets), PARCELS)
-    table = written(sent.groupBy("bucket").applyInArrow(earlier, PARCELS), "windows")
+    sent = rows.mapInArrow(releasing(block_rows(folder, width, buckets)), PARCELS)
+    found = written(sent.groupBy("kind", "bucket").applyInArrow(releasing(first_pass), PARCELS), "runs")
+    sent = found.repartition(buckets, "block").groupBy("block").applyInArrow(releasing(second_pass(folder, width, 4 * buckets)), PARCELS)
+    table = written(sent.groupBy("bucket").applyInArrow(releasing(earlier), PARCELS), "windows")
 
     def finish(answers: pa.Table) -> pa.Table:
         is_state = [k == FILE and v == b"state" for k, v in zip(answers.column("kind").to_pylist(), answers.column("vals").to_pylist(), strict=True)]
@@ -323,7 +323,7 @@ def cut(docs: DataFrame, width: int, make, schema) -> DataFrame:
             np.add.at(edge, place + width, -1)
         return make(load_table(folder, file_of(answers)), data, starts, sizes, np.cumsum(edge[:-1], dtype=np.int32) > 0)
 
-    return table.repartition(buckets, "block").groupBy("block").applyInArrow(finish, schema)
+    return table.repartition(buckets, "block").groupBy("block").applyInArrow(releasing(finish), schema)
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:

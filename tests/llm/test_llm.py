@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pixelfurrow.llm import byte_bpe, components, decontaminate, langid, lm_score, ngram_join, quality, suffix_dedup, topk, toxicity, wavelet
-from pixelfurrow.llm.common import fold, training_labels
+from pixelfurrow.llm.common import fold, releasing, training_labels
 
 ODD = [(None, "abc " * 40), (1, None), (2, ""), (3, " a  b\n c "), (4, "don't  STOP\n\nnow\x1f \x1cx yÉé é áb 'S"), (5, "it  is  ok  "), (6, "日本語 テキスト"), (7, "x" * 3000), (8, "x" * 3000)]
 SCHEMA = "doc_id long, text string"
@@ -512,3 +512,22 @@ def test_near_duplicates_keep_one_row_of_each_component(spark):
     far, middle = " ".join([*w, "x", "y", "z", "p", "q", "s"]), " ".join([*w, "x", "y", "z"])
     chain = [(1, " ".join([*w[:-3], *w[-3:]][4:])), (None, " ".join(w)), (2, " ".join(w[: len(w) - 1] + w[-1:] + ["x", "y", "z", "p", "q"]))]
     assert {x.component_id for x in ngram_join.grouped(spark.createDataFrame([*chain, (None, middle), (9, far)], SCHEMA), 5, 80, 100).collect()} == {1}
+
+
+def test_tasks_give_back_what_they_freed():
+    """Python workers stay beside the JVM, so what a task has freed is not to stay with them."""
+    kept = []
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4 // 1024
+
+    def rows(batches):
+        held = [b"x" * n for n in range(1500, 2500) for _ in range(100)]
+        kept.append(b"x" * 100_000)  # above the others in the heap
+        kept.append(resident())
+        del held
+        yield from batches
+
+    assert list(releasing(rows)([1, 2])) == [1, 2] and resident() < kept[1] - 100
+    assert releasing(lambda x: x + 1)(1) == 2
