@@ -267,8 +267,7 @@ def bootstrap_spearman(spark, d):
 @query(NUMBERED + f", g AS (SELECT draw, i, row_number() OVER (PARTITION BY draw ORDER BY {HASH}, i) - 1 AS source FROM r, range(1, 101) t(draw)), c AS (SELECT draw, corr(x.a, y.b) AS s FROM g JOIN r x ON x.i = g.i JOIN r y ON y.i = g.source GROUP BY 1), o AS (SELECT corr(a, b) AS s FROM r) SELECT round(any_value(o.s), 6) AS observed, count(*) FILTER (WHERE abs(c.s) >= abs(o.s) - 1e-12) AS exceeding, round((1.0 + count(*) FILTER (WHERE abs(c.s) >= abs(o.s) - 1e-12)) / (1 + count(*)), 6) AS p FROM c, o")
 def permutation_test(spark, d):
     r = numbered(spark, d)
-    g = T.permutations(r, 100).join(r.select("i", "a"), "i").join(r.select(F.col("i").alias("source"), "b"), "source")
-    c = g.groupBy("draw").agg(X.pearson(F.col("a"), F.col("b")).alias("s"))
+    c = T.permuted_correlations(r.select("i", "a", "b"), 100)
     o = r.agg(X.pearson(F.col("a"), F.col("b")).alias("o"))
     k = F.count_if(F.abs("s") >= F.abs("o") - 1e-12)
     return rounded(c.crossJoin(F.broadcast(o)).agg(F.max("o").alias("observed"), k.alias("exceeding"), ((1 + k) / (1 + F.count("*"))).alias("p")))

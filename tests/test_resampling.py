@@ -25,3 +25,16 @@ def test_max_statistic_takes_all_features(spark):
     assert abs(out.observed - seen) < 1e-9 and out.exceeding == k and abs(out.p - (1 + k) / 41) < 1e-12
     one = stats.max_statistic(spark.createDataFrame([x for x in rows if x[1] == 0], "i long, feature int, value double, label double"), 40).first()
     assert one.observed < out.observed
+
+
+def test_permuted_correlations_of_packed_columns_equal_those_of_rows(spark):
+    """Nulls of both columns too; before, every draw was rows of a shuffle and two joins."""
+    r = random.Random(5)
+    odd = lambda k, v: None if k % 7 == 3 else v
+    rows = [(i, odd(i, r.random()), odd(i + 1, float(r.randrange(4)))) for i in range(60)]
+    for some in (rows, rows[:2], [(i, 1.0, b) for i, _, b in rows], []):
+        table = spark.createDataFrame(some, "i long, a double, b double").repartition(3)
+        packed, spread = ({x.draw: x.s for x in stats.permuted_correlations(table, 30, most).collect()} for most in (60, -1))
+        assert packed.keys() == spread.keys() == set(range(1, 31) if some else [])
+        assert all(s is None and packed[d] is None or abs(packed[d] - s) < 1e-12 for d, s in spread.items())
+    assert "Window" not in stats.permuted_correlations(table, 30)._jdf.queryExecution().toString()
