@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfurrow.llm.common import Shared, blocks, by_value, fold, releasing
+from pixelfurrow.llm.common import Shared, by_value, fold, forget, releasing, sliced
 
-ORDER = 3
+ORDER, PIECE = 3, 1 << 18
 PAD = b"\0" * ORDER
 
 
@@ -49,11 +49,12 @@ def _keep(n: int, starts: np.ndarray) -> np.ndarray:
 
 
 def count_grams(batches):
+    forget()
     for batch in batches:
-        langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
-        for a, b in blocks(texts, 2 << 20):
+        langs = np.array(batch.column(0).to_pylist(), object)
+        for a, b, texts in sliced(batch.column(1), 2 << 20):
             for lang in dict.fromkeys(langs[a:b]):
-                data, starts = _joined([t for t, x in zip(texts[a:b], langs[a:b], strict=True) if x == lang])
+                data, starts = _joined([t for t, x in zip(texts, langs[a:b], strict=True) if x == lang])
                 grams = _grams(data)
                 keys, n = np.unique(grams[_keep(len(grams), starts)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
@@ -129,12 +130,10 @@ class Trees:
 
 def learn(docs: DataFrame, limit: int = 4000) -> Trees:
     """Trees from about limit documents of each language at most (a bound on labelled rows); docs: lang, text, doc_id."""
-    spark, counts = docs.sparkSession, {}
+    counts = {}
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    shares = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not shares:
-        return Trees({})
-    share = spark.createDataFrame([(k, int(1_000_003 * min(1, limit / n))) for k, n in shares.items()], "lang string, share int")
+    # counted where it is joined: a table made here from Python rows would leave a second set of Python workers on the executors
+    share = rows.groupBy("lang").agg((F.lit(1_000_003) * F.least(F.lit(1.0), F.lit(limit) / F.count("*"))).cast("int").alias("share"))
     some = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_003)) < F.col("share"))
     table = some.select("lang", "text").mapInArrow(releasing(count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(table.column("lang").to_pylist(), object)
@@ -152,9 +151,7 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
     def predict(batches):
         trees = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts, 1 << 20):
-                part = texts[a:b]
+            for a, b, part in sliced(batch.column(1), PIECE):
                 bits = trees.code_lengths(part)
                 letters = np.array([bool(t) and any(map(str.isalpha, t)) for t in part]) & (len(trees.langs) > 0)
                 best = bits.argmin(1) if trees.langs else np.zeros(len(part), int)
@@ -185,13 +182,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     def keep(batches):
         trees = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.names.index("text")).to_pylist()
-            kept = []
-            for a, b in blocks(texts, 1 << 20):
-                bits = trees.code_lengths(texts[a:b])
-                for t, low in zip(texts[a:b], bits.min(1) if trees.langs else [0] * (b - a), strict=True):
+            for a, b, texts in sliced(batch.column(batch.schema.names.index("text")), PIECE):
+                bits, kept = trees.code_lengths(texts), []
+                for t, low in zip(texts, bits.min(1) if trees.langs else [0] * (b - a), strict=True):
                     kept.append(bool(t) and bool(trees.langs) and any(map(str.isalpha, t)) and bool(low < 8 * len(t.encode("utf-8", "surrogatepass"))))
-            yield batch.filter(pa.array(kept, pa.bool_()))
+                yield batch.slice(a, b - a).filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(releasing(keep), schema)
 

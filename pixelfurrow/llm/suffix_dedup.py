@@ -165,7 +165,8 @@ class Runs:
     """A block's runs, and their digits."""
 
     def __init__(self, data, starts, sizes, width):
-        self.at, self.n, self.anchor, content = all_runs(data, starts, sizes, width)
+        self.at, self.n, anchor, content = all_runs(data, starts, sizes, width)
+        self.anchor = mixed(anchor)  # the least of many hashes lie in the lowest buckets, most of them in the first
         self.contents = Digits(content, low(self.anchor))
         order = np.lexsort((content, self.anchor))
         a, b = self.anchor[order], content[order]

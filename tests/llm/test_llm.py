@@ -9,13 +9,14 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import pyspark
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pixelfurrow.llm import byte_bpe, components, decontaminate, langid, lm_score, ngram_join, quality, suffix_dedup, topk, toxicity, wavelet
+from pixelfurrow.llm import byte_bpe, common, components, decontaminate, langid, lm_score, ngram_join, quality, suffix_dedup, topk, toxicity, wavelet
 from pixelfurrow.llm.common import fold, releasing, training_labels
 
 ODD = [(None, "abc " * 40), (1, None), (2, ""), (3, " a  b\n c "), (4, "don't  STOP\n\nnow\x1f \x1cx yÉé é áb 'S"), (5, "it  is  ok  "), (6, "日本語 テキスト"), (7, "x" * 3000), (8, "x" * 3000)]
@@ -531,3 +532,32 @@ def test_tasks_give_back_what_they_freed():
 
     assert list(releasing(rows)([1, 2])) == [1, 2] and resident() < kept[1] - 100
     assert releasing(lambda x: x + 1)(1) == 2
+
+
+def test_anchors_spread_over_buckets():
+    """Anchors are least hashes; by their highest bits, the first bucket would gather most of those of all blocks."""
+    data = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8)
+    found = suffix_dedup.Runs(data, np.array([0]), np.array([len(data)]), 100)
+    sizes = np.bincount((found.anchors >> np.uint64(32)).astype(np.int64) * 92 >> 32, minlength=92)
+    assert len(found.anchors) > 9000 and sizes.max() < 2 * sizes.mean()
+
+
+def test_workers_keep_only_what_the_latest_stage_uses():
+    for k in range(3):
+        assert common.kept(("table", k), lambda k=k: k) == k
+    assert [*pyspark.__dict__["_pixelfurrow_kept"]] == [("table", 2)]
+    common.forget()
+    assert not pyspark.__dict__["_pixelfurrow_kept"]
+
+
+def test_language_id_makes_no_table_of_python_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "the cat sat on the mat", "en") for i in range(50)], SCHEMA + ", lang string")
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    assert langid.stage(spark, docs, "").count() == 50 and langid.learn(docs, limit=0).langs == []
+
+
+def test_sliced_texts():
+    texts = pa.array(["ab", None, "", "über", "x" * 50, "y"])
+    out = [*common.sliced(texts, 6)]
+    assert [(a, b) for a, b, _ in out] == [(0, 3), (3, 4), (4, 5), (5, 6)] and sum((t for *_, t in out), []) == texts.to_pylist()
+    assert [*common.sliced(texts.slice(0, 0), 6)] == []
